@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import chat, people
+from checks import chat, docs, people
 
-GROUPS = (chat, people)
+GROUPS = (chat, people, docs)
 
 
 def queries() -> dict:

@@ -178,8 +178,8 @@ def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     damaged = F.expr(
         r"""CASE WHEN conv_id_k % 9 = 0 THEN concat(text, ' (cid:1)(CID:22) (cid:3)')
-             WHEN conv_id_k % 9 = 1 THEN concat(text, repeat(chr(65533), 4))
-             WHEN conv_id_k % 9 = 2 THEN concat(repeat(chr(11906), 3), left(text, 300))
+             WHEN conv_id_k % 9 = 1 THEN concat(text, repeat('\uFFFD', 4))
+             WHEN conv_id_k % 9 = 2 THEN concat(repeat('\u2E82', 3), left(text, 300))
              WHEN conv_id_k % 9 = 3 THEN left(text, 18)
              WHEN conv_id_k % 9 = 4 THEN concat(text, chr(1), chr(2), chr(3))
              WHEN conv_id_k % 9 = 5 THEN concat(' 3 / 12 ', chr(10), left(text, 9))
