@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import chat, docs, people
+from checks import chat, docs, grids, packages, people
 
-GROUPS = (chat, people, docs)
+GROUPS = (chat, people, docs, grids, packages)
 
 
 def queries() -> dict:

@@ -261,3 +261,80 @@ CELLS_SQL = """cells AS (
       WHEN o_orderkey % 7 = 1 THEN ' #name? ' WHEN o_orderkey % 7 = 2 THEN NULL ELSE '42' END END
       AS cached_value
   FROM orders, (VALUES (1), (2), (3), (4), (5)) AS c(col))"""
+
+
+def delimited_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): every document as a ragged comma separated file, one cell per word."""
+    return table(spark, sf_dir, "documents").selectExpr(
+        "concat('doc', doc_id, '.csv') AS path",
+        """encode(replace(replace(replace(trim(BOTH '\\n' FROM text), '"', ''), ',', ''), ' ', ','),
+             'UTF-8') AS content""",
+    )
+
+
+def _build_packages(batches):
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    relation = "http://schemas.openxmlformats.org/package/2006/relationships"
+    types = "http://schemas.openxmlformats.org/package/2006/content-types"
+
+    def build(k: int, n: int) -> bytes:
+        marks = "".join(
+            f'<w:commentRangeStart w:id="{i}"/>'
+            + ("" if i % 5 == 0 else f'<w:commentRangeEnd w:id="{i}"/>')
+            + ("" if i % 7 == 0 else f'<w:commentReference w:id="{i}"/>')
+            for i in range(k % 9)
+        )
+        changes = "".join(
+            f'<w:ins w:author="a{i % 3}" w:date="2024-01-01"/>' if i % 2 else '<w:del w:id="1"/>'
+            for i in range(n % 6)
+        )
+        parts = [
+            ("[Content_Types].xml",
+             f'<Types xmlns="{types}"><Override PartName="/word/document.xml" ContentType="doc"/>'
+             f'<Override PartName="/word/gone{k}.xml" ContentType="x"/>'
+             + ('<Override PartName="/word/document.xml" ContentType="doc"/>' if k % 6 == 0 else "")
+             + "</Types>"),
+            ("_rels/.rels",
+             f'<Relationships xmlns="{relation}"><Relationship Id="r1" Target="word/document.xml"/>'
+             + ('<Relationship Id="r1" Target="/word/lost.xml"/>' if k % 4 == 0 else "")
+             + ('<Relationship Id="r2" Target="../out.xml"/>' if k % 11 == 0 else "")
+             + '<Relationship Id="r3" Target="https://example.org" TargetMode="External"/>'
+             + '<Relationship Id="r4" Target="#top"/></Relationships>'),
+            ("word/document.xml",
+             f'<w:document xmlns:w="{word}"><w:body>{marks}{changes}</w:body></w:document>'),
+            ("word/comments.xml",
+             f'<w:comments xmlns:w="{word}">'
+             + "".join(f'<w:comment w:id="{i}"/>' for i in range(k % 4)) + "</w:comments>"),
+        ]
+        if k % 5 == 0:
+            parts = [part for part in parts if part[0] != "_rels/.rels"]
+        if k % 3 == 0:
+            parts.append(("word/media/image1.png", "x" * (n % 50)))
+        if k % 13 == 0:
+            parts.append(("../evil.xml", "<broken"))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            for name, body in parts:
+                archive.writestr(zipfile.ZipInfo(name), body)
+        return out.getvalue()
+
+    for batch in batches:
+        yield pd.DataFrame(
+            {
+                "path": [f"p{k}.docx" for k in batch["doc_id"]],
+                "content": [
+                    build(int(k), int(n)) for k, n in zip(batch["doc_id"], batch["n_chars"])
+                ],
+            }
+        )
+
+
+def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a small document package per document, with planted defects."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return docs.mapInPandas(_build_packages, "path string, content binary")
