@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import chat, docs, grids, packages, people
+from checks import chat, docs, edits, grids, ocr, packages, people, web
 
-GROUPS = (chat, people, docs, grids, packages)
+GROUPS = (chat, people, docs, grids, packages, ocr, web, edits)
 
 
 def queries() -> dict:

@@ -338,3 +338,81 @@ def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, content): a small document package per document, with planted defects."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return docs.mapInPandas(_build_packages, "path string, content binary")
+
+
+# Lines of `documents` as OCR lines, twenty to a page of 1000 x 1400 units.
+_OCR = (
+    "doc_id", "cast(1 + pos DIV 20 AS int) AS page", "cast(pos % 20 AS int) AS idx",
+    "concat(' ', text, CASE WHEN pos % 7 = 0 THEN concat(chr(9), ' ') ELSE '' END) AS text",
+    "CASE WHEN pos % 23 = 5 THEN NULL ELSE (doc_id * 7 + pos * 31) % 120 / 100D END AS confidence",
+    """CASE WHEN pos % 17 <> 3 THEN array(array(bx, by), array(bx + 200D, by), array(bx + 200D, by + 40D),
+         array(bx, by + 40D)) END AS box""",
+    "1000 AS page_width", "1400 AS page_height",
+)
+
+
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = paragraphs(spark, sf_dir).filter("text <> ''")
+    rows = rows.withColumn("bx", F.expr("cast((doc_id * 37 + pos * 53) % 700 AS double)"))
+    rows = rows.withColumn("by", F.expr("(pos % 20) * 60 + pos * 7 % 13 + 0.125D"))
+    return rows.selectExpr(*_OCR)
+
+
+OCR_SQL = f"""{PARAGRAPHS_SQL},
+ocr AS (SELECT doc_id, CAST(1 + pos // 20 AS INTEGER) AS page, CAST(pos % 20 AS INTEGER) AS idx, pos, text,
+    CASE WHEN pos % 23 = 5 THEN 0.0::DOUBLE ELSE least(1.0, ((doc_id * 7 + pos * 31) % 120) / 100.0::DOUBLE) END AS confidence,
+    pos % 17 <> 3 AS boxed, CAST((doc_id * 37 + pos * 53) % 700 AS DOUBLE) AS bx,
+    CAST((pos % 20) * 60 + pos * 7 % 13 AS DOUBLE) + 0.125::DOUBLE AS by_ FROM paras WHERE text <> ''),
+lines AS (SELECT *, CASE WHEN boxed THEN bx ELSE idx END AS "left",
+    CAST(round_even(CASE WHEN boxed THEN round_even(by_, 2) ELSE idx END / 10, 0) AS BIGINT) AS band,
+    trim(regexp_replace(text, '[ \\t]+', ' ', 'g')) AS clean FROM ocr)"""
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image rectangles on some of the OCR pages."""
+    return paragraphs(spark, sf_dir).filter("pos % 5 = 0 AND doc_id % 4 <> 3").selectExpr(
+        "doc_id", "cast(1 + pos DIV 20 AS int) AS page",
+        "cast((doc_id * 13 + pos * 29) % 900 AS double) AS x0",
+        "cast(pos * 61 % 1300 AS double) AS top",
+        "cast((doc_id * 13 + pos * 29) % 900 + 20 + pos * 17 % 400 AS double) AS x1",
+        "cast(pos * 61 % 1300 + 20 + doc_id % 600 AS double) + 0.123D AS bottom",
+        "1000D AS width", "1400D AS height",
+    )
+
+
+IMAGES_SQL = f"""boxes AS (SELECT doc_id, page, x0 / 1000 AS x0, y0 / 1400 AS y0, least(1000, x1) / 1000 AS x1, least(1400, y1) / 1400 AS y1 FROM
+  (SELECT doc_id, CAST(1 + pos // 20 AS INTEGER) AS page, CAST((doc_id * 13 + pos * 29) % 900 AS DOUBLE) AS x0,
+    CAST(pos * 61 % 1300 AS DOUBLE) AS y0, CAST((doc_id * 13 + pos * 29) % 900 + 20 + pos * 17 % 400 AS DOUBLE) AS x1,
+    CAST(pos * 61 % 1300 + 20 + doc_id % 600 AS DOUBLE) + 0.123::DOUBLE AS y1 FROM paras WHERE pos % 5 = 0 AND doc_id % 4 <> 3))"""
+
+
+def native_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Native text behind every third OCR line: equal, extended or partly changed."""
+    from parlance.functions.text import match_key
+
+    rows = paragraphs(spark, sf_dir).filter("text <> '' AND pos % 3 = 0")
+    rows = rows.withColumn("bx", F.expr("cast((doc_id * 37 + pos * 53) % 700 AS double)"))
+    rows = rows.withColumn("by", F.expr("(pos % 20) * 60 + pos * 7 % 13"))
+    text = F.expr(
+        """CASE pos % 9 WHEN 0 THEN text WHEN 3 THEN concat(text, ' and more') ELSE
+           translate(text, 'et', '37') END"""
+    )
+    return rows.select(
+        "doc_id", F.expr("cast(1 + pos DIV 20 AS int)").alias("page"), match_key(text).alias("key"),
+        (F.col("bx") / 1000).alias("x0"), (F.col("by") / 1400).alias("y0"),
+        ((F.col("bx") + 200) / 1000).alias("x1"), ((F.col("by") + 40) / 1400).alias("y1"),
+    )
+
+
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of `documents` placed on pages: ten to a line, twenty lines to a page."""
+    docs = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "posexplode(filter(split(text, '[ \\\\n]+'), w -> w <> '')) AS (pos, text)"
+    )
+    return docs.selectExpr(
+        "doc_id", "cast(1 + pos DIV 200 AS int) AS page", "pos AS idx", "text",
+        "cast(20 + (pos % 10) * 55 + pos % 3 AS double) AS x0",
+        "20 + (pos % 200 DIV 10) * 14 + (pos * 7 % 5) * 0.6D AS top",
+        "cast(70 + (pos % 10) * 55 AS double) AS x1",
+        "32 + (pos % 200 DIV 10) * 14 + (pos * 7 % 5) * 0.6D AS bottom",
+        "600D AS width", "400D AS height",
+    )

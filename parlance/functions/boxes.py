@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parlance.functions.numbers import round_half_even
+
 
 def norm_box(
     x0: Column, top: Column, x1: Column, bottom: Column, width: Column, height: Column
@@ -34,7 +36,7 @@ def box_area(box: Column) -> Column:
 
 def round_points(points: Column) -> Column:
     """Corner points rounded to 2 decimals; null unless there are exactly four."""
-    rounded = F.transform(points, lambda p: F.transform(p, lambda v: F.bround(v, 2)))
+    rounded = F.transform(points, lambda p: F.transform(p, lambda v: round_half_even(v, 2)))
     whole = F.forall(points, lambda p: (F.size(p) >= 2) & F.get(p, F.lit(0)).isNotNull())
     return F.when((F.size(points) == 4) & whole, rounded)
 

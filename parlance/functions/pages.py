@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parlance.functions.numbers import round_half_even
 from parlance.functions.text import alnum_length, strip, visible_length
 
 # Fixed thresholds of the quality score.
@@ -156,7 +157,7 @@ def page_quality(text: Column, coverage: Column) -> Column:
     )
     return F.struct(
         (coverage > 0).alias("has_image"),
-        F.bround(coverage, 4).alias("image_coverage"),
+        round_half_even(coverage, 4).alias("image_coverage"),
         status.alias("status"),
         score.cast("int").alias("score"),
         visible.alias("visible_chars"),

@@ -54,14 +54,14 @@ def containing(
 GRID = 32
 
 
-def _cell(value: Column) -> Column:
+def grid_cell(value: Column) -> Column:
     return F.least(F.greatest(F.floor(value * GRID), F.lit(0)), F.lit(GRID - 1)).cast("int")
 
 
 def with_cells(boxes: DataFrame, pad: float) -> DataFrame:
     """One row per distinct box and grid cell it may hold points of."""
-    across = F.sequence(_cell(F.col("x0") - pad), _cell(F.col("x1") + pad))
-    down = F.sequence(_cell(F.col("y0") - pad), _cell(F.col("y1") + pad))
+    across = F.sequence(grid_cell(F.col("x0") - pad), grid_cell(F.col("x1") + pad))
+    down = F.sequence(grid_cell(F.col("y0") - pad), grid_cell(F.col("y1") + pad))
     return boxes.distinct().withColumn("_gx", F.explode(across)).withColumn("_gy", F.explode(down))
 
 
@@ -94,7 +94,7 @@ def in_any_box(
     settled by a plain semi-join, so overlapping large boxes cost nothing extra; only the cells on
     box edges are compared point by box.
     """
-    placed = lines.withColumn("_gx", _cell(F.col("cx"))).withColumn("_gy", _cell(F.col("cy")))
+    placed = lines.withColumn("_gx", grid_cell(F.col("cx"))).withColumn("_gy", grid_cell(F.col("cy")))
     on_page = (
         (F.col("cx") >= 0) & (F.col("cx") <= 1) & (F.col("cy") >= 0) & (F.col("cy") <= 1)
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions.numbers import round_half_even
 from parlance.functions.pages import page_quality, page_window, parse_pages, status_rank
 from parlance.functions.text import SPACE
 from parlance.operators.ordered import dedupe_first, first_rows, running_total
@@ -298,8 +299,8 @@ def layout_histogram(pages: DataFrame) -> DataFrame:
     """Pages by (width, height, rotation), sorted; sizes to 2 decimals, rotation modulo 360."""
     return (
         pages.groupBy(
-            F.bround(F.col("width").cast("double"), 2).alias("width_points"),
-            F.bround(F.col("height").cast("double"), 2).alias("height_points"),
+            round_half_even(F.col("width"), 2).alias("width_points"),
+            round_half_even(F.col("height"), 2).alias("height_points"),
             F.pmod(F.coalesce(F.col("rotation"), F.lit(0)), F.lit(360)).alias("rotation"),
         )
         .agg(F.count("*").alias("count"))
