@@ -75,7 +75,7 @@ def page_digest(content: DataFrame) -> DataFrame:
     digest = F.concat_ws(
         "\n\n",
         F.concat(F.lit("标题："), title),
-        F.concat(F.lit("URL："), F.col("url")),
+        F.concat(F.lit("URL："), F.coalesce("url", F.lit(""))),
         labelled("语言", F.col("lang")),
         labelled("页面描述", F.col("description")),
         section("主要标题", headings),

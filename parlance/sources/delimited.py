@@ -60,10 +60,19 @@ def read_delimited(
     return delimited_cells(files.filter(F.col("length") <= WHOLE_FILE_BYTES), sep, encoding)
 
 
+def _allow(spark: SparkSession, encoding: str) -> None:
+    if encoding not in ENCODINGS:
+        raise ValueError(f"unsupported encoding: {encoding}")
+    if encoding.startswith("gb"):
+        # Spark's own list of CSV charsets leaves out the Chinese ones that Java knows.
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def read_rectangular(
     spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",", encoding: str = "utf-8"
 ) -> DataFrame:
     """Files of any size with a known number of columns; Spark splits them across tasks."""
+    _allow(spark, encoding)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     reader = spark.read.schema(schema).option("sep", sep).option("encoding", encoding)
     return reader.option("quote", '"').option("escape", '"').csv(path)
@@ -71,8 +80,7 @@ def read_rectangular(
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", encoding: str = "utf-8") -> None:
     """Write without a header; null becomes an empty cell."""
-    if encoding not in ENCODINGS:
-        raise ValueError(f"unsupported encoding: {encoding}")
+    _allow(df.sparkSession, encoding)
     texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]
     charset = "utf-8" if encoding == "utf-8-sig" else encoding
     (
@@ -81,6 +89,8 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", encoding: str = "u
         .option("sep", sep)
         .option("encoding", charset)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("emptyValue", "")
         .csv(path)
     )

@@ -28,6 +28,8 @@ def write_export(rows: DataFrame, manifest: DataFrame, path: str) -> None:
         .option("header", True)
         .option("quoteAll", True)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(f"{path}/rooms")
     )
     manifest.write.mode("overwrite").json(f"{path}/manifest")
