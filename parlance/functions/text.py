@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 # The characters Python's str.isspace accepts, as a regex class body.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\p{Z}"
-# The characters JavaScript's String.trim removes.
-JS_SPACE = r"\t-\r \x{a0}\p{Z}\x{feff}"
+_ZS = "\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+# The same characters listed for trim(), and those JavaScript's String.trim removes.
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85" + _ZS
+JS_SPACE_CHARS = "\t\n\x0b\x0c\r \ufeff" + _ZS
 WORD = r"\p{L}\p{N}_"
 
 # Fixed values of the spreadsheet export.
@@ -29,7 +31,12 @@ FALSE_WORDS = ("0", "false", "no", "n", "off")
 
 def strip(col: Column) -> Column:
     """Trim every Unicode white-space character, not only blanks."""
-    return F.regexp_replace(col, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(col, F.lit(SPACE_CHARS))
+
+
+def has_text(col: Column) -> Column:
+    """Anything besides white space and NUL characters, that is, `clean_lines` leaves something."""
+    return F.coalesce(col.rlike(f"[^{SPACE}\\x00]"), F.lit(False))
 
 
 def blank_to_null(col: Column) -> Column:
@@ -81,16 +88,14 @@ def clean_web(col: Column) -> Column:
     lines = F.split(F.replace(F.coalesce(col, F.lit("")), F.lit("\u00a0"), F.lit(" ")), "\n")
     lines = F.transform(
         lines,
-        lambda x: F.regexp_replace(
-            F.regexp_replace(x, f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", ""), r"[ \t]+", " "
-        ),
+        lambda x: F.regexp_replace(F.trim(x, F.lit(JS_SPACE_CHARS)), r"[ \t]+", " "),
     )
     kept = F.filter(
         F.arrays_zip(lines.alias("line"), F.concat(F.array(F.lit("")), lines).alias("prev")),
         lambda x: (x["line"] != "") | (x["prev"] != ""),
     )
     text = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
-    return F.regexp_replace(text, f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
+    return F.trim(text, F.lit(JS_SPACE_CHARS))
 
 
 @F.pandas_udf(T.StringType())

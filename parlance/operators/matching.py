@@ -1,4 +1,8 @@
-"""Joins on text and place that never pair up whole groups."""
+"""Joins on text and place that never pair up whole groups.
+
+Both sides of these joins come out of an explode, whose size Spark's estimates do not see. They
+carry a merge hint, so that no estimate can turn them into a broadcast.
+"""
 
 from __future__ import annotations
 
@@ -42,7 +46,7 @@ def containing(
             )
         ),
     )
-    hits = pieces.join(wanted, [*keys, "_probe"])
+    hits = pieces.hint("merge").join(wanted, [*keys, "_probe"])
     if whole is not None:
         test = F.lit(False)
         for t in texts:
@@ -101,11 +105,11 @@ def in_any_box(
     cells = with_cells(boxes.select(*keys, "x0", "y0", "x1", "y1"), pad)
     cell_keys = [*keys, "_gx", "_gy"]
     full = cells.filter(_covers(pad)).select(*cell_keys).distinct()
-    edges = cells.filter(~_covers(pad)).join(full, cell_keys, "left_anti")
+    edges = cells.filter(~_covers(pad)).join(full.hint("merge"), cell_keys, "left_anti")
     settled = placed.withColumn("_page", on_page)
     full = full.withColumn("_full", F.lit(True))
     marked = (
-        settled.join(full, cell_keys, "left")
+        settled.join(full.hint("merge"), cell_keys, "left")
         .withColumn("_sure", F.coalesce(F.col("_full") & F.col("_page"), F.lit(False)))
         .drop("_full")
     )
@@ -117,7 +121,7 @@ def in_any_box(
     )
     spots = exact.select(
         *[F.col(k).alias(f"_b{k}") for k in cell_keys], "x0", "y0", "x1", "y1"
-    )
+    ).hint("merge")
     test = _inside(marked["cx"], marked["cy"], pad)
     for k in cell_keys:
         test = test & (marked[k] == spots[f"_b{k}"])

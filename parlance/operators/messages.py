@@ -159,14 +159,18 @@ def referenced_voice(refs: DataFrame, msgs: DataFrame) -> DataFrame:
     return refs.join(voices, refs["ref_msg_id"] == voices["msg_id"])
 
 
-def export_seq(df: DataFrame) -> DataFrame:
-    """Number messages per room by (created_at, id); a room is cut into minutes."""
+def export_seq(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Number messages per room by (created_at, id); a room is cut into minutes.
+
+    Rooms with more rows than `limit` drop out.
+    """
     return running_total(
         df,
         keys=["room"],
         order=["created_at", "id", "roster_id"],
         bucket=F.expr("created_at DIV 60"),
         out="seq",
+        limit=limit,
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from parlance.functions.boxes import box_area, centre, norm_box, point_in_box, round_points
 from parlance.functions.numbers import round_half_even
-from parlance.functions.text import alnum_length, clean_lines, match_key, visible_length
+from parlance.functions.text import alnum_length, clean_lines, has_text, match_key, visible_length
 from parlance.operators.matching import containing, grid_cell, in_any_box, with_cells
 from parlance.operators.ordered import dedupe_first, running_total
 
@@ -47,8 +47,8 @@ def prepared_lines(lines: DataFrame) -> DataFrame:
         )
 
     rows = (
-        lines.withColumn("text", clean_lines(F.col("text")))
-        .filter("text <> ''")
+        lines.filter(has_text(F.col("text")))
+        .withColumn("text", clean_lines(F.col("text")))
         .withColumn("confidence", F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)))
         .withColumn("box", box)
     )
@@ -200,7 +200,8 @@ def _similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame
     )
     rank = Window.partitionBy("_side", *PAGE, "id").orderBy("_freq", "_tok")
     first = (
-        both.join(freq, [*PAGE, "_tok"])
+        both.hint("merge")
+        .join(freq, [*PAGE, "_tok"])
         .withColumn("_rank", F.row_number().over(rank))
         .filter(F.col("_rank") <= size - shared)
     )
@@ -210,7 +211,7 @@ def _similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame
     )
     short, total = F.least("size", "other_size"), F.col("size") + F.col("other_size")
     pairs = (
-        a.join(b, [*PAGE, "_tok"])
+        a.join(b.hint("merge"), [*PAGE, "_tok"])
         .filter(2 * short / total >= least)
         .select(*PAGE, "id", "other_id")
         .distinct()
@@ -251,7 +252,7 @@ def native_in_box(lines: DataFrame, native: DataFrame) -> DataFrame:
         *PAGE, "idx", "key", "cx", "cy",
         grid_cell(F.col("cx")).alias("_gx"), grid_cell(F.col("cy")).alias("_gy"),
     )
-    near = placed.join(boxes, [*PAGE, "_gx", "_gy"]).filter(
+    near = placed.join(boxes.hint("merge"), [*PAGE, "_gx", "_gy"]).filter(
         point_in_box(
             F.struct(F.col("cx").alias("x"), F.col("cy").alias("y")),
             F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), NATIVE_PAD,

@@ -13,17 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 4096
-
-
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    """Null-safe equality on all names, still an equi-join for Spark."""
-    test = F.lit(True)
-    for name in names:
-        test = test & left[name].eqNullSafe(right[name])
-    return test
-
-
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
@@ -31,9 +20,12 @@ def running_total(
     bucket: Column,
     value: Column | None = None,
     out: str = "seq",
+    limit: int | None = None,
 ) -> DataFrame:
     """Running sum of `value` (running row count without it) per key, including the row itself.
 
+    With `limit`, keys whose whole sum exceeds it drop out before their rows are sorted.
+
     `order` must be unique per key. `bucket` must not decrease along it and should hold a bounded
     number of rows: `pos DIV 4096` for positions, a minute for message times.
     """
@@ -49,7 +41,10 @@ def running_total(
         *[F.col(k).alias(f"_key_{k}") for k in keys],
         F.col("_bucket").alias("_at"),
         F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"),
+        F.sum("_total").over(Window.partitionBy(*keys)).alias("_whole"),
     )
+    if limit is not None:
+        starts = starts.filter(F.col("_whole") <= limit)
     test = rows["_bucket"].eqNullSafe(starts["_at"])
     for k in keys:
         test = test & rows[k].eqNullSafe(starts[f"_key_{k}"])
@@ -98,45 +93,61 @@ def missing_names(required: DataFrame, present: DataFrame, keys: Sequence[str])
     return required.join(have, test, "left_anti")
 
 
-def exact_percentile(
-    df: DataFrame, keys: Sequence[str], value: str, fraction: float, bins: int = 4096
-) -> DataFrame:
+def _cumulative(keys: Sequence[str], by: str) -> Column:
+    """Sum of `_total` over the earlier values of `by`."""
+    earlier = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_total").over(earlier), F.lit(0))
+
+
+def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, fraction: float) -> DataFrame:
     """Exact linear-interpolation percentile per key without holding a key in one task.
 
-    A histogram over [min, max] finds the one bin that holds the wanted rank; only the distinct
-    values of that bin (and of the bin of the next rank) are then ordered.
+    Two histograms close in on the wanted ranks: logarithmic bins cope with any spread, linear
+    bins inside the bin found cope with crowded values. Only the distinct values of the final bin
+    are ordered, and equal values are counted before anything is shuffled by bin.
     """
+    keys = list(keys)
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    span = rows.groupBy(*keys).agg(
-        F.min("_v").alias("lowest"), F.max("_v").alias("highest"), F.count("*").alias("n")
-    )
     counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_count"))
-    width = F.col("highest") - F.col("lowest")
-    binned = counts.join(span, list(keys)).withColumn(
-        "_bin",
-        F.when(width > 0, F.floor((F.col("_v") - F.col("lowest")) / width * bins)).otherwise(0),
+    scale = F.signum("_v") * F.floor(F.ln(1 + F.abs("_v")) * 256)
+    coarse = counts.withColumn("_coarse", scale)
+    bins = coarse.groupBy(*keys, "_coarse").agg(
+        F.sum("_count").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
-    totals = binned.groupBy(*keys, "_bin").agg(
-        F.sum("_count").alias("_total"), F.max("n").alias("n")
+    whole = Window.partitionBy(*keys)
+    bins = (
+        bins.withColumn("_start", _cumulative(keys, "_coarse"))
+        .withColumn("n", F.sum("_total").over(whole))
+        .withColumn("lowest", F.min("_lo").over(whole))
+        .withColumn("highest", F.max("_hi").over(whole))
     )
-    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    # Ranks count from 0: the percentile lies between the ranks floor(p) and ceil(p).
+    # Ranks count from 0: the percentile lies between the ranks floor(at) and ceil(at).
     at = (F.col("n") - 1) * F.lit(fraction)
-    wanted = totals.withColumn("_start", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
-    wanted = wanted.filter(
-        (F.ceil(at) >= F.col("_start")) & (F.floor(at) < F.col("_start") + F.col("_total"))
-    ).select(*keys, "_bin", "_start")
-    inner = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    hit = (F.ceil(at) >= F.col("_start")) & (F.floor(at) < F.col("_start") + F.col("_total"))
+    found = bins.filter(hit).drop("_total")
+    width = F.col("_hi") - F.col("_lo")
+    share = F.floor((F.col("_v") - F.col("_lo")) / width * 4096)
+    fine = coarse.join(found, [*keys, "_coarse"]).withColumn(
+        "_fine", F.when(width > 0, share).otherwise(0)
+    )
+    kept = [*keys, "_coarse", "_start", "n", "lowest", "highest"]
+    steps = fine.groupBy(*kept, "_fine").agg(F.sum("_count").alias("_total"))
+    inside = _cumulative([*keys, "_coarse"], "_fine")
+    steps = steps.withColumn("_start", F.col("_start") + inside).filter(hit).drop("_total")
+    running = (
+        Window.partitionBy(*keys, "_coarse", "_fine")
+        .orderBy("_v")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    values = fine.select(*keys, "_coarse", "_fine", "_v", "_count")
     ranked = (
-        binned.join(wanted, [*keys, "_bin"])
-        .withColumn("_end", F.col("_start") + F.sum("_count").over(inner))
-        .withColumn("_low", F.col("_end") - F.col("_count"))
+        values.join(steps, [*keys, "_coarse", "_fine"])
+        .withColumn("_end", F.col("_start") + F.sum("_count").over(running))
+        .withColumn("_first", F.col("_end") - F.col("_count"))
     )
 
     def at_rank(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_low")) & (rank < F.col("_end")), F.col("_v")))
+        return F.max(F.when((rank >= F.col("_first")) & (rank < F.col("_end")), F.col("_v")))
 
     picked = ranked.groupBy(*keys).agg(
         F.max("lowest").alias("lowest"),
@@ -145,11 +156,7 @@ def exact_percentile(
         at_rank(F.floor(at)).alias("_below"),
         at_rank(F.ceil(at)).alias("_above"),
     )
-    share = at - F.floor(at)
+    step = (F.col("_above") - F.col("_below")) * (at - F.floor(at))
     return picked.select(
-        *keys,
-        "lowest",
-        (F.col("_below") + (F.col("_above") - F.col("_below")) * share).alias("percentile"),
-        "highest",
-        "n",
+        *keys, "lowest", (F.col("_below") + step).alias("percentile"), "highest", "n"
     )

@@ -35,7 +35,7 @@ def _joined(
     def keyed(df: DataFrame, key: str, kind: str) -> DataFrame:
         ids = df.filter(conversation_kind(F.col(key)) == kind)
         return ids.groupBy(F.col(key).alias("wx_id")).agg(
-            F.first(F.struct(*_present(df, fields))).alias("o")
+            F.min(F.struct(*_present(df, fields))).alias("o")
         )
 
     overrides = keyed(rooms, "chat_room_id", "room").unionByName(

@@ -63,10 +63,7 @@ def chat_export(
 ) -> DataFrame:
     """Numbered export rows of every room within the limit: room, seq, sent_at, names, message."""
     rows = exportable_messages(messages, roster, self_id, start, end)
-    sizes = rows.groupBy("room").agg(F.count("*").alias("_n"))
-    fitting = sizes.filter(F.col("_n") <= limit).select("room")
-    numbered = export_seq(rows.join(fitting, "room", "left_semi"))
-    return numbered.select(
+    return export_seq(rows, limit).select(
         "room",
         "seq",
         local_time(F.col("created_at")).alias("sent_at"),

@@ -11,6 +11,8 @@ SETTINGS = {
     # Hot join keys are split even where that costs one more shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rank limits up to the largest one used are applied before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10001",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
