@@ -117,13 +117,20 @@ def _json_string_list(col: Column) -> Column:
     return F.when(strings, F.transform(items, lambda x: F.try_variant_get(x, "$", "string")))
 
 
-def expand_list(col: Column) -> Column:
-    """A plain value or a JSON array of strings as a list; null where the JSON is no such array."""
+def expand_list(col: Column, bracketed_names: bool = False) -> Column:
+    """A plain value or a JSON array of strings as a list; null where the JSON is no such array.
+
+    With `bracketed_names`, as for emoji names such as `[name]`, a bracketed text that is no JSON
+    counts as a plain value.
+    """
     text = strip(F.coalesce(col, F.lit("")))
     listed = F.transform(_json_string_list(text), strip)
+    is_list = text.startswith("[")
+    if bracketed_names:
+        is_list = is_list & text.endswith("]") & F.try_parse_json(text).isNotNull()
     return (
         F.when(text == "", F.array().cast("array<string>"))
-        .when(text.startswith("["), F.filter(listed, lambda x: x != ""))
+        .when(is_list, F.filter(listed, lambda x: x != ""))
         .otherwise(F.array(text))
     )
 
@@ -220,6 +227,37 @@ def drawing_size(ratio: Column, resolution: Column, configured: Column | None =
     return size if configured is None else F.coalesce(blank_to_null(configured), size)
 
 
+# Emoji names with the digest and length of their image.
+EMOJI = {
+    "[调皮]": ("da56c104712858765ff6edb61083c4ab", 10250946),
+    "[无语]": ("8690c66ab09a767cb5f7c7818c0a517f", 26296),
+    "[爱心]": ("1b44ec167ccb38d8260a57bccaa516e5", 8337713),
+    "[安慰]": ("ad2f9eb42093bf73190cef07d8958e6b", 418037),
+    "[嘲笑]": ("16644536f3300a81d96f712a399ff92e", 205506),
+    "[傻瓜]": ("45484d7b1133b16e68285943a6dc1ba3", 74925),
+    "[厉害]": ("de4fb8aff77f474746efa3e7a6d638dc", 57770),
+    "[生气]": ("b74fc587508b4b1ce13009ed73585f44", 59990),
+    "[开心]": ("4aae9dbe27651859ed526bcaad5f1f34", 19788),
+    "[禁止色色]": ("d4509efdb82cf39c9c5eabc67c7b03e1", 7739250),
+    "[打你]": ("b7f19049a1e3f5814c976fb43934fd04", 2093382),
+}
+
+
+def emoji(col: Column) -> Column:
+    """struct(md5, total_length) of an emoji name; null for a name the table lacks."""
+    table = F.create_map(
+        *[
+            item
+            for name, (md5, length) in EMOJI.items()
+            for item in (
+                F.lit(name),
+                F.struct(F.lit(md5).alias("md5"), F.lit(length).alias("total_length")),
+            )
+        ]
+    )
+    return F.element_at(table, col)
+
+
 def literal_pattern(find: str, match_case: bool = True, whole_word: bool = False) -> str:
     """Regex matching `find` literally, optionally only between non-word characters."""
     body = re.sub(r"([^\w\s])", r"\\\1", find)

@@ -12,16 +12,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+CHUNK = 256
+
+
 def grams(text: Column, sizes: Column) -> Column:
-    """Distinct substrings of the text whose length is one of `sizes`."""
-    fitting = F.filter(sizes, lambda n: n <= F.length(text))
-    cut = F.transform(
-        fitting,
-        lambda n: F.transform(
-            F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)
-        ),
+    """Distinct substrings of the text whose length is one of `sizes`.
+
+    Finding a position in a string means walking to it, so long texts are first cut into chunks
+    that overlap by the longest size, and substrings are taken from the chunks.
+    """
+    chunks = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(CHUNK)),
+        lambda start: F.substring(text, start, F.array_max(sizes) + (CHUNK - 1)),
     )
-    return F.array_distinct(F.flatten(cut))
+
+    def of(chunk: Column) -> Column:
+        fitting = F.filter(sizes, lambda n: n <= F.length(chunk))
+        cut = F.transform(
+            fitting,
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.least(F.length(chunk) - n + 1, F.lit(CHUNK))),
+                lambda i: F.substring(chunk, i, n),
+            ),
+        )
+        return F.flatten(cut)
+
+    return F.array_distinct(F.flatten(F.transform(chunks, of)))
 
 
 def containing(

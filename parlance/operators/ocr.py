@@ -19,6 +19,7 @@ from parlance.functions.numbers import round_half_even
 from parlance.functions.text import alnum_length, clean_lines, has_text, match_key, visible_length
 from parlance.operators.matching import containing, grid_cell, in_any_box, with_cells
 from parlance.operators.ordered import dedupe_first, running_total
+from parlance.session import materialized
 
 PAGE = ["doc_id", "page"]
 
@@ -278,7 +279,9 @@ def line_reasons(lines: DataFrame, native: DataFrame, images: DataFrame) -> Data
     `outside` applies only to pages that have images; a repeated key is a duplicate of the first
     remaining line in reading order; lines without a key are never duplicates.
     """
-    keyed = keyed_lines(lines)
+    # Several rules read the keys, and computing them needs Python: once is enough.
+    keyed = materialized(keyed_lines(lines))
+    native = materialized(native.select(*PAGE, "key", "x0", "y0", "x1", "y1"))
     slim = keyed.select(*PAGE, "idx", "key", "cx", "cy")
     by_text = native_keys(slim, native).withColumn("_text", F.lit(True))
     by_box = native_in_box(slim, native).withColumn("_boxed", F.lit(True))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # Join sides are broadcast only below Spark's own size threshold, measured at run time.
@@ -23,3 +25,16 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Compute a DataFrame once for several readers, in the cluster's checkpoint folder.
+
+    The folder is the one the cluster names in `spark.checkpoint.dir`, so a lost executor loses
+    nothing; only a session without any, as in tests, gets a temporary one.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()

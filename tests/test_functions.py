@@ -56,6 +56,16 @@ def test_expand_list(one):
         "string", text.expand_list,
     )
     assert got == [["a", "b"], ["plain"], [], [], None, None, ['{"a":1}'], []]
+    named = lambda c: text.expand_list(c, bracketed_names=True)
+    assert one(["[开心]", '["[开心]", "x"]', "[1]", "[a"], "string", named) == [
+        ["[开心]"], ["[开心]", "x"], None, ["[a"],
+    ]
+
+
+def test_emoji(one):
+    got = one([" [生气] ", "生气", None], "string", text.emoji)
+    assert got[0] is None and got[1] is None and got[2] is None
+    assert one(["[生气]"], "string", text.emoji)[0].total_length == 59990
 
 
 def test_bools_and_ints(one):
