@@ -1,7 +1,8 @@
 """Joins on text and place that never pair up whole groups.
 
-Both sides of these joins come out of an explode, whose size Spark's estimates do not see. They
-carry a merge hint, so that no estimate can turn them into a broadcast.
+One side of these joins comes out of an explode, whose size Spark's estimates do not see, so
+hints keep it from being broadcast: a hash join over shuffled data builds on the side with
+distinct keys, and where no side has distinct keys both are merged.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def containing(
             )
         ),
     )
-    hits = pieces.hint("merge").join(wanted, [*keys, "_probe"])
+    hits = pieces.join(wanted.hint("shuffle_hash"), [*keys, "_probe"])
     if whole is not None:
         test = F.lit(False)
         for t in texts:
@@ -121,11 +122,11 @@ def in_any_box(
     cells = with_cells(boxes.select(*keys, "x0", "y0", "x1", "y1"), pad)
     cell_keys = [*keys, "_gx", "_gy"]
     full = cells.filter(_covers(pad)).select(*cell_keys).distinct()
-    edges = cells.filter(~_covers(pad)).join(full.hint("merge"), cell_keys, "left_anti")
+    edges = cells.filter(~_covers(pad)).join(full.hint("shuffle_hash"), cell_keys, "left_anti")
     settled = placed.withColumn("_page", on_page)
     full = full.withColumn("_full", F.lit(True))
     marked = (
-        settled.join(full.hint("merge"), cell_keys, "left")
+        settled.join(full.hint("shuffle_hash"), cell_keys, "left")
         .withColumn("_sure", F.coalesce(F.col("_full") & F.col("_page"), F.lit(False)))
         .drop("_full")
     )

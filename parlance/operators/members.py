@@ -131,24 +131,12 @@ def expand_mentions(requests: DataFrame) -> DataFrame:
 
     `requests` holds request_id, room, mentions (plain text or a JSON list) and mention_all.
     """
-    items = expand_list(F.col("mentions"))
+    listed = requests.select("request_id", "room", expand_list(F.col("mentions")).alias("_items"))
+    folded = listed.withColumn("_folded", F.transform("_items", F.lower))
     # The list belongs to one request row, so first-wins de-duplication needs no shuffle.
-    folded = F.transform(items, F.lower)
-    first = F.filter(
-        F.transform(
-            items,
-            lambda x, i: F.struct(
-                i.alias("pos"), x.alias("mention"),
-                (F.array_position(folded, F.lower(x)) == i + 1).alias("first"),
-            ),
-        ),
-        lambda x: x["first"],
-    )
-    return (
-        requests.withColumn("item", F.explode(first))
-        .select("request_id", "room", F.col("item.pos").alias("pos"),
-                F.col("item.mention").alias("mention"))
-    )
+    rows = folded.select("request_id", "room", "_folded", F.posexplode("_items").alias("pos", "mention"))
+    first = F.array_position("_folded", F.lower("mention")) == F.col("pos") + 1
+    return rows.filter(first).drop("_folded")
 
 
 def _collected(rows: DataFrame, column: str, test: Column, out: str) -> DataFrame:

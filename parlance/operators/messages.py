@@ -58,14 +58,17 @@ def app_fields(type_: Column, content: Column) -> Column:
             "columnNameOfCorruptRecord": "_broken",
         },
     )
-    parsed = F.when(type_ == APP, parsed)
 
-    def field(name: str) -> Column:
-        texts = F.coalesce(parsed["appmsg"][name], F.array().cast("array<string>"))
-        return F.when(parsed["_broken"].isNull(), F.array_join(texts, " ", "")).alias(name)
+    def fields(xml: Column) -> Column:
+        def field(name: str) -> Column:
+            texts = F.coalesce(xml["appmsg"][name], F.array().cast("array<string>"))
+            return F.when(xml["_broken"].isNull(), F.array_join(texts, " ", "")).alias(name)
 
+        return F.struct(field("type"), field("title"), field("des"))
+
+    # Through a one-element array the XML is parsed once for all three fields.
     return F.when(
-        (type_ == APP) & content.isNotNull(), F.struct(field("type"), field("title"), field("des"))
+        (type_ == APP) & content.isNotNull(), F.get(F.transform(F.array(parsed), fields), F.lit(0))
     )
 
 

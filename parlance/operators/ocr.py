@@ -201,8 +201,7 @@ def _similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame
     )
     rank = Window.partitionBy("_side", *PAGE, "id").orderBy("_freq", "_tok")
     first = (
-        both.hint("merge")
-        .join(freq, [*PAGE, "_tok"])
+        both.join(freq.hint("shuffle_hash"), [*PAGE, "_tok"])
         .withColumn("_rank", F.row_number().over(rank))
         .filter(F.col("_rank") <= size - shared)
     )
@@ -349,17 +348,24 @@ def dedupe_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def _walk(words: pd.DataFrame) -> pd.DataFrame:
-    """Split the words of one island into lines by the distance to the line's running mean top."""
-    words = words.sort_values(["band", "x0", "idx"], kind="stable")
-    line, total, count, out = -1, 0.0, 0, []
-    for top in words["top"]:
-        if line < 0 or abs(top - total / count) > LINE_GAP:
-            line, total, count = line + 1, 0.0, 0
-        total += top
-        count += 1
-        out.append(line)
-    return words.assign(line=out)
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _line_starts(tops: pd.Series) -> pd.Series:
+    """Where lines start (from 1) in the ordered tops of an island: at a top too far from the
+    running mean of its line. Islands that need no walk come as null."""
+
+    def starts(values) -> list[int] | None:
+        if values is None:
+            return None
+        out, total, count = [], 0.0, 0
+        for place, top in enumerate(values, start=1):
+            if count == 0 or abs(top - total / count) > LINE_GAP:
+                out.append(place)
+                total, count = 0.0, 0
+            total += top
+            count += 1
+        return out
+
+    return tops.map(starts, na_action=None)
 
 
 def group_words(words: DataFrame) -> DataFrame:
@@ -386,21 +392,38 @@ def group_words(words: DataFrame) -> DataFrame:
     )
     islands = islands.join(heights, [*PAGE, "island"]).select(*PAGE, "band", "island", "_tall")
     placed = rows.join(islands, [*PAGE, "band"])
-    flat = placed.filter("NOT _tall").drop("_tall").withColumn("line", F.lit(0).cast("long"))
-    tall = placed.filter("_tall").drop("_tall")
-    schema = T.StructType([*tall.schema.fields, T.StructField("line", T.LongType())])
-    walked = tall.groupBy(*PAGE, "island").applyInPandas(_walk, schema)
-    lines = flat.unionByName(walked).groupBy(*PAGE, "island", "line").agg(
-        F.array_sort(F.collect_list(F.struct("x0", "band", "idx", "text"))).alias("_words"),
-        F.min("x0").alias("x0"),
-        F.min("top").alias("top"),
-        F.max("x1").alias("x1"),
-        F.max("bottom").alias("bottom"),
-        F.first("width").alias("width"),
-        F.first("height").alias("height"),
+    word = F.struct("band", "x0", "idx", "top", "x1", "bottom", "text")
+    grouped = placed.groupBy(*PAGE, "island").agg(
+        F.array_sort(F.collect_list(word)).alias("_words"),
+        F.bool_or("_tall").alias("_tall"),
+        F.max("width").alias("width"),
+        F.max("height").alias("height"),
+    )
+    tops = F.when(F.col("_tall"), F.transform("_words", lambda w: w["top"]))
+    walked = grouped.withColumn("_starts", _line_starts(tops))
+    end = F.size("_words") + 1
+    runs = F.transform(
+        "_starts",
+        lambda start, i: F.slice(
+            "_words", start, F.coalesce(F.get("_starts", i + 1), end) - start
+        ),
+    )
+    lines = walked.select(
+        *PAGE, "island", "width", "height",
+        F.posexplode(F.coalesce(runs, F.array("_words"))).alias("line", "_line"),
+    )
+    placed_texts = F.array_sort(
+        F.transform("_line", lambda w: F.struct(w["x0"], w["band"], w["idx"], w["text"]))
+    )
+    text = clean_lines(F.array_join(F.transform(placed_texts, lambda w: w["text"]), " ", ""))
+
+    def edge(pick, name: str) -> Column:
+        return pick(F.transform("_line", lambda w: w[name]))
+
+    box = norm_box(
+        edge(F.array_min, "x0"), edge(F.array_min, "top"), edge(F.array_max, "x1"),
+        edge(F.array_max, "bottom"), F.col("width"), F.col("height"),
     )
-    text = clean_lines(F.array_join(F.transform("_words", lambda w: w["text"]), " ", ""))
-    box = norm_box(*[F.col(c) for c in ("x0", "top", "x1", "bottom", "width", "height")])
     keyed = lines.withColumn("text", text).withColumn("_box", box).withColumn("key", match_key("text"))
     return keyed.filter("key <> '' AND _box IS NOT NULL").select(
         *PAGE, "island", "line", "text", "key", "_box.*"

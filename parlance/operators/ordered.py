@@ -30,31 +30,27 @@ def running_total(
     number of rows: `pos DIV 4096` for positions, a minute for message times.
     """
     amount = F.lit(1).cast("long") if value is None else value
-    rows = df.withColumn("_bucket", bucket).withColumn("_amount", amount)
-    totals = rows.groupBy(*keys, "_bucket").agg(F.sum("_amount").alias("_total"))
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy("_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    # One struct as join and window key: null keys match each other, and the rows that the join
+    # has already partitioned by it need no second shuffle for the window.
+    part = F.struct(*[F.col(k) for k in keys], bucket.alias("_bucket"))
+    rows = df.withColumn("_part", part).withColumn("_amount", amount)
+    totals = rows.groupBy("_part").agg(F.sum("_amount").alias("_total"))
+    per_key = Window.partitionBy(*[f"_part.{k}" for k in keys])
+    earlier = per_key.orderBy("_part._bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys],
-        F.col("_bucket").alias("_at"),
+        "_part",
         F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"),
-        F.sum("_total").over(Window.partitionBy(*keys)).alias("_whole"),
+        F.sum("_total").over(per_key).alias("_whole"),
     )
     if limit is not None:
         starts = starts.filter(F.col("_whole") <= limit)
-    test = rows["_bucket"].eqNullSafe(starts["_at"])
-    for k in keys:
-        test = test & rows[k].eqNullSafe(starts[f"_key_{k}"])
     inside = (
-        Window.partitionBy(*keys, "_bucket")
+        Window.partitionBy("_part")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.join(starts, test)
+        rows.join(starts.drop("_whole"), "_part")
         .withColumn(out, F.col("_start") + F.sum("_amount").over(inside))
         .select(*df.columns, out)
     )
