@@ -21,7 +21,7 @@ def _plain(col):
 
 # Blocks become chr(1), paragraphs chr(2); the strongest mark of a run decides its newlines.
 def _visible(col):
-    out = f"regexp_replace({col}, '<!--.*?-->|<(?:b|a)(?: [^>]*)?>|</(?:b|a)>', '', 'gs')"
+    out = f"regexp_replace({col}, '<!--.*?-->|<(?:b|a)(?: [^>]*)?>|</(?:b|a|body|html)>', '', 'gs')"
     out = f"regexp_replace({out}, '<br>', chr(3), 'g')"
     out = f"regexp_replace({out}, '</?p>', chr(2), 'g')"
     out = f"regexp_replace({out}, '</?(?:h1|nav|ul|li|div|article|footer)(?: [^>]*)?>', chr(1), 'g')"
@@ -32,8 +32,8 @@ def _visible(col):
     return f"trim({_plain(out)}, ' ' || chr(10))"
 
 
-CONTENT_SQL = f"""shown AS (SELECT page_id, url, html, {_visible("regexp_extract(html, '<article>(.*)</article>', 1, 's')")} AS art,
-    {_visible("regexp_extract(html, '<body>(.*)</body>', 1, 's')")} AS body FROM pages),
+CONTENT_SQL = f"""shown AS (SELECT page_id, url, html, {_visible("regexp_extract(html, '<article>(.*?)(?:</article>|$)', 1, 's')")} AS art,
+    {_visible("regexp_extract(html, '<body>(.*)$', 1, 's')")} AS body FROM pages),
 content AS (SELECT page_id, url, html, regexp_replace(CASE WHEN length(art) > 0 AND length(art) >= length(body) * 0.25 THEN art ELSE body END,
     '\\n\\n+', chr(10) || chr(10), 'g') AS text,
     list_transform(regexp_extract_all(html, '<h1>(.*?)</h1>', 1), lambda x: trim({_plain('x')})) AS headings,
