@@ -14,8 +14,9 @@ QUERIES, ORACLE = REG.queries, REG.oracle
 
 
 def _plain(col):
-    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
-        col = f"replace({col}, '{entity}', '{char}')"
+    # Browsers also read these names where a cut has taken their semicolon.
+    for entity, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+        col = f"regexp_replace({col}, '&{entity};?', '{char}', 'g')"
     return col
 
 
