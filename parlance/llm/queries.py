@@ -9,6 +9,7 @@ from parlance.llm.histogram_sort import shard_by_bytes
 from parlance.llm.line_frequency import line_frequency_rules
 from parlance.llm.piece_table import encode_pieces
 from parlance.llm.token_attribution import attribute_tokens
+from parlance.llm.url_markov import filter_urls, parse_rule
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -24,6 +25,13 @@ def op1_token_counts(spark, sf_dir):
     return attribute_tokens(table(spark, sf_dir, "documents"), read_bytes(RANK_FILE), public_tokenizers.PATTERN)
 
 
+RULES = [parse_rule(r) for r in ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")]
+
+
+def op3_url_filter(spark, sf_dir):
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+
+
 def op8_shards(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -37,5 +45,5 @@ def op10_quality(spark, sf_dir):
     return line_frequency_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op8_shards, op9_pieces, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_url_filter, op8_shards, op9_pieces, op10_quality)}
 ORACLE: dict[str, str] = {}
