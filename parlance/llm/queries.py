@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from parlance.llm.common import table
+from parlance.llm.brown_lm import score_documents
+from parlance.llm.common import remainder, table
 from parlance.llm.histogram_sort import shard_by_bytes
+from parlance.llm.language_mixture import language_columns, learn
 from parlance.llm.line_frequency import line_frequency_rules
 from parlance.llm.piece_table import encode_pieces
 from parlance.llm.token_attribution import attribute_tokens
@@ -32,6 +35,21 @@ def op3_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
 
 
+def op5_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = remainder(4) == 2
+    judged = language_columns(spark, *learn(docs.filter(~held)))(F.col("text"))
+    return docs.select("doc_id", held.alias("held_out"), judged.alias("j")).select(
+        "doc_id", "held_out", "j.lang_pred", "j.score", "j.mixture"
+    )
+
+
+def op6_class_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = remainder(5) == 1
+    return score_documents(docs, docs.filter(~held)).withColumn("held_out", held)
+
+
 def op8_shards(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -45,5 +63,8 @@ def op10_quality(spark, sf_dir):
     return line_frequency_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_url_filter, op8_shards, op9_pieces, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op3_url_filter, op5_language, op6_class_scores, op8_shards, op9_pieces, op10_quality)
+}
 ORACLE: dict[str, str] = {}
