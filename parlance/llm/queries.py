@@ -10,7 +10,9 @@ from parlance.llm.common import remainder, table
 from parlance.llm.histogram_sort import shard_by_bytes
 from parlance.llm.language_mixture import language_columns, learn
 from parlance.llm.line_frequency import line_frequency_rules
+from parlance.llm.line_templates import drop_recurring_lines
 from parlance.llm.piece_table import encode_pieces
+from parlance.llm.string_tiling import find_leaks
 from parlance.llm.token_attribution import attribute_tokens
 from parlance.llm.url_markov import filter_urls, parse_rule
 
@@ -28,6 +30,10 @@ def op1_token_counts(spark, sf_dir):
     return attribute_tokens(table(spark, sf_dir, "documents"), read_bytes(RANK_FILE), public_tokenizers.PATTERN)
 
 
+def op2_leaks(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 RULES = [parse_rule(r) for r in ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")]
 
 
@@ -50,6 +56,12 @@ def op6_class_scores(spark, sf_dir):
     return score_documents(docs, docs.filter(~held)).withColumn("held_out", held)
 
 
+def op7_line_templates(spark, sf_dir):
+    kept = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.length(text).alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
+
+
 def op8_shards(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -65,6 +77,16 @@ def op10_quality(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op3_url_filter, op5_language, op6_class_scores, op8_shards, op9_pieces, op10_quality)
+    for f in (
+        op1_token_counts,
+        op2_leaks,
+        op3_url_filter,
+        op5_language,
+        op6_class_scores,
+        op7_line_templates,
+        op8_shards,
+        op9_pieces,
+        op10_quality,
+    )
 }
 ORACLE: dict[str, str] = {}
