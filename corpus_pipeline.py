@@ -1,28 +1,67 @@
-"""From raw documents to encoded ones. Stages are added as their operators are."""
+"""From raw documents to encoded ones, in five stages.
+
+Each stage takes all documents that the one before kept; the last returns their encoding.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parlance.llm.common import stored, table
+from parlance.llm.language_mixture import UNKNOWN, language_columns, learn
+from parlance.llm.line_templates import drop_recurring_lines
+from parlance.llm.partenum import keep_one_of_each
 from parlance.llm.piece_table import encode_pieces
 from parlance.llm.queries import PIECE_MODEL, read_bytes
+from parlance.llm.string_tiling import leak_columns
 from parlance.session import configure
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document and the digest of what they decode to."""
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: those whose text is null or has no letter go."""
+    judge = language_columns(spark, *learn(docs))
+    return docs.withColumn("__judged", judge(F.col("text"))).filter(F.col("__judged.lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines of recurring templates; those of which no word is left go."""
+    cleaned = drop_recurring_lines(docs.withColumn("__n", F.col("n_chars")))
+    left = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("__n"))
+    return cleaned.filter(left).withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no benchmark item."""
+    leaks = leak_columns(spark, table(spark, sf_dir, "benchmark"))
+    return docs.filter(~leaks(F.col("text")))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every document, and digests of them and of the text they decode to."""
     return encode_pieces(docs, read_bytes(PIECE_MODEL), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
-STAGES = [("encoding", encode)]
+STAGES = [
+    ("language", language),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
+]
 
 #: SQL has neither the tokenizer nor the learnt models; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each result stored before the next stage reads it."""
+    """All stages over the documents, each result stored as Parquet and read again by the next stage."""
     configure(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):

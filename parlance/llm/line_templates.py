@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.common import arrow_rows, raw, stored
@@ -27,6 +27,8 @@ SIMILARITY = 0.7
 #: A leaf gives up to so many generalised templates, each from the lines that the ones before leave over.
 TEMPLATES = 2
 MIN_DOCS, MIN_TOKENS = 3, 4
+#: Independent places for each document with the template, at least.
+SPREAD = 0.1
 #: Up to so many leaves are sent to all executors; more of them are joined by a shuffle.
 BROADCAST_LEAVES = 1_000_000
 
@@ -55,10 +57,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """key, line, leaf, kind (hash of the line's tokens), context (hash of the leaves beside it)."""
+    """key, line, leaf, kind (hash of the line's tokens), before and after (leaves of its neighbours).
+
+    Where there is no neighbour, a value that depends on the other one stands for it.
+    """
     schema = pa.schema(
-        [("key", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("kind", pa.int64()), ("context", pa.int64())]
-    )
+        [("key", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("kind", pa.int64()),
+         ("before", pa.int64()), ("after", pa.int64())]
+    )
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,23 +75,40 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
                     tokens = tokens_of(line)
                     if tokens:
                         found.append((number, leaf_of(tokens, depth), _hash(b" ".join(tokens)), len(tokens)))
-                leaves = [0, *(f[1] for f in found), 0]
                 for k, (number, leaf, kind, n) in enumerate(found):
                     if n >= min_tokens:
-                        for column, value in zip(out, (key, number, leaf, kind, _hash(b"%d %d" % (leaves[k], leaves[k + 2])))):
+                        before = found[k - 1][1] if k else None
+                        after = found[k + 1][1] if k + 1 < len(found) else None
+                        sides = (_hash(b"first %d" % (after or 0)) if before is None else before,
+                                 _hash(b"last %d" % (before or 0)) if after is None else after)
+                        for column, value in zip(out, (key, number, leaf, kind, *sides)):
                             column.append(value)
             yield arrow_rows(schema, out)
 
     keyed = _keyed(docs).select("__key", raw())
-    return keyed.mapInArrow(parse, "key long, line int, leaf long, kind long, context long")
+    return keyed.mapInArrow(parse, "key long, line int, leaf long, kind long, before long, after long")
+
+
+def _in_documents(lines: DataFrame, by: str, min_docs: int) -> DataFrame:
+    return lines.groupBy(by).agg(F.countDistinct("key").alias("docs")).filter(F.col("docs") >= min_docs)
 
 
 def _recurring(lines: DataFrame, by: str, min_docs: int) -> DataFrame:
-    """Values of `by` in at least `min_docs` documents and as many contexts."""
-    return (
-        lines.groupBy(by).agg(F.countDistinct("key").alias("docs"), F.countDistinct("context").alias("contexts"))
-        .filter((F.col("docs") >= min_docs) & (F.col("contexts") >= min_docs))
-    )
+    """Values of `by` that stand in at least `min_docs` documents and independent places.
+
+    A place is a pair of neighbours. It is independent if it is the most frequent one both with its
+    line before and with its line after: near copies of a document, some neighbours of which were
+    edited, so make one independent place. There must be one to every 1 / SPREAD documents.
+    """
+    often = _in_documents(lines, by, min_docs)
+    places = lines.join(often, by).groupBy(by, "before", "after", "docs").agg(F.countDistinct("key").alias("held"))
+    best_before = F.max(F.struct("held", "after")).over(Window.partitionBy(by, "before"))
+    best_after = F.max(F.struct("held", "before")).over(Window.partitionBy(by, "after"))
+    independent = places.withColumns({"b": best_before, "a": best_after}).filter(
+        (F.col("b.after") == F.col("after")) & (F.col("a.before") == F.col("before"))
+    )
+    counted = independent.groupBy(by, "docs").agg(F.count("*").alias("places"))
+    return counted.filter((F.col("places") >= min_docs) & (F.col("places") >= SPREAD * F.col("docs")))
 
 
 def _tokens(docs: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
@@ -125,7 +148,7 @@ def templates(docs: DataFrame, lines: DataFrame, depth: int, similarity: float,
     In each round the constants of a leaf are the tokens that more than half of its remaining documents
     and lines have at a position, a line counting once for each document that holds it.
     """
-    leaves = _recurring(lines, "leaf", min_docs).join(
+    leaves = _in_documents(lines, "leaf", min_docs).join(
         lines.groupBy("leaf").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).filter("low <> high"), "leaf"
     )
     weights = lines.groupBy("kind", "key").agg(F.lit(1).alias("one")).groupBy("kind").agg(F.sum("one").alias("weight"))
@@ -157,10 +180,10 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """The documents without lines of recurring templates, with n_lines and n_dropped added.
 
-    A template recurs if lines with it stand in at least `min_docs` documents and between at least
-    as many different pairs of neighbouring lines (by their leaves). Whole documents that are copies,
-    exact or near, have the same neighbours everywhere; their lines stay, for they are no boilerplate
-    but a matter of document dedup. Lines with fewer than `min_tokens` tokens have no template.
+    A template recurs if lines with it stand in at least `min_docs` documents and as many independent
+    places (see `_recurring`). Whole documents that are copies, exact or near, have the same lines
+    around it everywhere; their lines stay, for they are no boilerplate but a matter of document
+    dedup. Lines with fewer than `min_tokens` tokens have no template.
 
     `text` is replaced; all other columns stay as they are, so a column named n_lines or n_dropped is
     overwritten. A null text stays null with 0 lines; a document can be left with an empty text.

@@ -11,6 +11,7 @@ from parlance.llm.histogram_sort import shard_by_bytes
 from parlance.llm.language_mixture import language_columns, learn
 from parlance.llm.line_frequency import line_frequency_rules
 from parlance.llm.line_templates import drop_recurring_lines
+from parlance.llm.partenum import near_duplicates
 from parlance.llm.piece_table import encode_pieces
 from parlance.llm.string_tiling import find_leaks
 from parlance.llm.token_attribution import attribute_tokens
@@ -41,6 +42,10 @@ def op3_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
 
 
+def op4_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held = remainder(4) == 2
@@ -81,6 +86,7 @@ QUERIES = {
         op1_token_counts,
         op2_leaks,
         op3_url_filter,
+        op4_near_duplicates,
         op5_language,
         op6_class_scores,
         op7_line_templates,
