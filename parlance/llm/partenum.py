@@ -27,8 +27,6 @@ PARTITIONS, SMALL_BANDS, SMALL_PARTITIONS = 1.25, 6, 1 << 20
 COUNTERS = 1 << 19
 #: Up to so many documents are looked up by a table sent to all executors; more by a shuffle.
 BROADCAST_DOCS = 1_000_000
-#: Members of a bucket that are compared with all its others in the first rounds; each round takes more.
-GROWTH = 8
 MEMO = 500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -173,14 +171,28 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("node", "text").mapInArrow(build, "node long, elements array<long>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with sizes n_a, n_b, the number of `common` elements and whether they are `linked`.
+
+    `own`: the first k + 1 elements of b that a lacks, k being b's tolerance.
+    """
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("of_b"))
-    joined = pairs.hint("merge").join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    united = F.size("of_a") + F.size("of_b") - common
-    return joined.filter(100 * common >= PERCENT * united).select("a", "b")
+    joined = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
+    sized = joined.withColumns(
+        {"n_a": F.size("of_a"), "n_b": F.size("of_b"), "common": F.size(F.array_intersect("of_a", "of_b"))}
+    )
+    united = F.col("n_a") + F.col("n_b") - F.col("common")
+    first = F.floor(F.col("n_b") * (100 - PERCENT) / PERCENT).cast("int") + 1
+    return sized.select(
+        "a",
+        "b",
+        "n_a",
+        "n_b",
+        "common",
+        (100 * F.col("common") >= PERCENT * united).alias("linked"),
+        F.slice(F.array_except("of_b", "of_a"), F.lit(1), first).alias("own"),
+    )
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,12 +216,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _buckets(index: DataFrame) -> DataFrame:
-    """sig, node, n, place of all sets that share a signature with another one.
+    """sig, node, place of all sets that share a signature with another one.
 
     Places order a bucket by how many sets its members meet in all their buckets: an original, of
     which many near copies differ more from each other than from it, comes before them.
     """
-    rows = index.select("node", "n", F.explode("sigs").alias("sig"))
+    rows = index.select("node", F.explode("sigs").alias("sig"))
     shared = (
         rows.repartition("sig").dropDuplicates(["sig", "node"])
         .withColumn("met", F.count("*").over(Window.partitionBy("sig"))).filter("met > 1")
@@ -218,52 +230,65 @@ def _buckets(index: DataFrame) -> DataFrame:
     central = shared.groupBy(F.col("node").alias("member")).agg(F.sum("met").alias("meets"))
     order = Window.partitionBy("sig").orderBy(F.desc("meets"), "node")
     placed = shared.join(central, F.col("node") == F.col("member")).withColumn("place", F.row_number().over(order))
-    return stored(placed.select("sig", "node", "n", "place"), "buckets")
+    return stored(placed.select("sig", "node", "place"), "buckets")
+
+
+def _further(compared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that were compared with one leader, are in different components, and may link.
+
+    Let r be unlike the leader L, d its difference from it, and s another set that was compared with L.
+    Unless r and s share an element that L lacks, their difference is at least d + |s| - |L|. So they
+    link only if (i) they share such an element, and then one of the first k + 1 of each, or (ii) s is
+    so much smaller than L that 9 * (d + |s| - |L|) <= |r| + |s|. Both are joins on equality: on an
+    element, and on the size of s.
+    """
+    named = compared.join(labels.withColumnRenamed("node", "l"), F.col("b") == F.col("l"), "left")
+    named = named.select("a", "b", "n_a", "n_b", "common", "linked", "own", F.coalesce("component", "b").alias("component"))
+    mixed = named.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
+    named = stored(named.join(mixed, "a"), "unsettled")
+    unlike = named.filter(~F.col("linked"))
+    fit = F.expr("x.b <> y.b and x.component <> y.component") & (
+        100 * F.least("x.n_b", "y.n_b") >= PERCENT * F.greatest("x.n_b", "y.n_b")
+    )
+    slim = ["a", "b", "n_b", "component"]
+    # (i): r and s share an element that L lacks.
+    r = unlike.select(*slim, F.explode("own").alias("element")).alias("x")
+    s = named.select(*slim, F.explode("own").alias("element")).alias("y")
+    sharing = r.join(s, F.expr("x.a = y.a and x.element = y.element") & fit)
+    # (ii): sizes that s can have, from the least that fits r.
+    d = F.col("n_a") + F.col("n_b") - 2 * F.col("common")
+    most = F.floor((9 * (F.col("n_a") - d) + F.col("n_b")) / 8).cast("int")
+    least = F.ceil(F.col("n_b") * PERCENT / 100).cast("int")
+    r = unlike.withColumns({"least": least, "most": most}).filter("most >= least")
+    r = r.select(*slim, F.explode(F.sequence("least", "most")).alias("size")).alias("x")
+    smaller = r.join(named.select(*slim).alias("y"), F.expr("x.a = y.a and x.size = y.n_b") & fit)
+    both = [p.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")) for p in (sharing, smaller)]
+    return both[0].unionByName(both[1]).distinct()
 
 
 def link_sets(docs: DataFrame, index: DataFrame) -> DataFrame | None:
     """node, component of the sets that link with another one; None if there are no such sets.
 
-    Of each bucket its first member is compared with all others, then its next ones, each round
-    several times as many; buckets whose members are in one component by then are settled. So no
-    bucket is paired up whole unless its members are really unlike, and no link is lost.
+    The first member of each bucket, its leader, is compared with all others. What two other members
+    have in common with it tells whether they can link; only such pairs are compared in turn. So no
+    bucket is paired up, and no link is lost.
     """
     buckets = _buckets(index)
+    if not buckets.limit(1).count():
+        return None
+    first, other = buckets.filter("place = 1").alias("f"), buckets.filter("place > 1").alias("o")
+    pairs = first.join(other, F.expr("f.sig = o.sig")).select(F.col("f.node").alias("a"), F.col("o.node").alias("b"))
+    pairs = stored(pairs.distinct(), "pairs")
     keys = index.filter(F.size("sigs") > 0).groupBy("node").agg(F.min("key").alias("key"))
-    done = edges = labels = None
-    low, high = 1, 2
-    while True:
-        open_ = buckets
-        if labels is not None:
-            named = buckets.join(labels.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left")
-            named = named.select("sig", "node", "n", "place", F.coalesce("component", "node").alias("component"))
-            mixed = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("place").alias("z"))
-            open_ = named.join(mixed.filter((F.col("x") != F.col("y")) & (F.col("z") > low)).select("sig"), "sig")
-        else:
-            open_ = buckets.withColumn("component", F.col("node"))
-        first = open_.filter((F.col("place") >= low) & (F.col("place") < high)).alias("f")
-        other = open_.alias("o")
-        size_a, size_b = F.col("f.n"), F.col("o.n")
-        pairs = first.join(other, F.expr("f.sig = o.sig and o.place > f.place and f.component <> o.component")).filter(
-            100 * F.least(size_a, size_b) >= PERCENT * F.greatest(size_a, size_b)
-        )
-        pairs = pairs.select(
-            F.least("f.node", "o.node").alias("a"), F.greatest("f.node", "o.node").alias("b")
-        ).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.limit(1).count():
-            nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            sets = stored(_sets(docs, keys.join(nodes, "node")).dropDuplicates(["node"]), "sets")
-            linked = stored(_linked(pairs, sets), "linked")
-            done = pairs if done is None else done.unionByName(pairs)
-            edges = linked if edges is None else edges.unionByName(linked)
-            if linked.limit(1).count():
-                labels = components(edges)
-        elif not open_.filter(F.col("place") >= high).limit(1).count():
-            return labels
-        low, high = high, high * GROWTH
+    nodes = buckets.select("node").distinct()
+    sets = stored(_sets(docs, keys.join(nodes, "node")).dropDuplicates(["node"]), "sets")
+    compared = stored(_compared(pairs, sets), "compared")
+    edges = compared.filter("linked").select("a", "b")
+    further = stored(_further(compared, components(edges)), "pairs")
+    if further.limit(1).count():
+        linked = stored(_compared(further, sets).filter("linked").select("a", "b"), "linked")
+        edges = edges.unionByName(linked)
+    return components(edges)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
