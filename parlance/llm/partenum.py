@@ -240,30 +240,51 @@ def _further(compared: DataFrame, labels: DataFrame) -> DataFrame:
     Unless r and s share an element that L lacks, their difference is at least d + |s| - |L|. So they
     link only if (i) they share such an element, and then one of the first k + 1 of each, or (ii) s is
     so much smaller than L that 9 * (d + |s| - |L|) <= |r| + |s|. Both are joins on equality: on an
-    element, and on the size of s.
+    element, and on the size of s. Two sets whose home, the leader of most sets among those they were
+    compared with, is the same are looked at there alone.
     """
+    led = compared.groupBy(F.col("a").alias("leader")).agg(F.count("*").alias("members"))
+    met = compared.select(F.col("b").alias("set"), F.col("a").alias("leader")).unionByName(
+        led.select(F.col("leader").alias("set"), "leader")
+    )
+    homes = met.join(led, "leader").groupBy("set").agg(F.max(F.struct("members", "leader"))["leader"].alias("home"))
     named = compared.join(labels.withColumnRenamed("node", "l"), F.col("b") == F.col("l"), "left")
-    named = named.select("a", "b", "n_a", "n_b", "common", "linked", "own", F.coalesce("component", "b").alias("component"))
+    named = named.join(homes, F.col("b") == F.col("set")).select(
+        "a", "b", "n_a", "n_b", "common", "linked", "own", "home", F.coalesce("component", "b").alias("component")
+    )
     mixed = named.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
     named = stored(named.join(mixed, "a"), "unsettled")
     unlike = named.filter(~F.col("linked"))
-    fit = F.expr("x.b <> y.b and x.component <> y.component") & (
+    fit = F.expr("x.b <> y.b and x.component <> y.component and (x.home <> y.home or x.home = x.a)") & (
         100 * F.least("x.n_b", "y.n_b") >= PERCENT * F.greatest("x.n_b", "y.n_b")
     )
-    slim = ["a", "b", "n_b", "component"]
-    # (i): r and s share an element that L lacks.
-    r = unlike.select(*slim, F.explode("own").alias("element")).alias("x")
-    s = named.select(*slim, F.explode("own").alias("element")).alias("y")
+    more, less = F.col("n_b") - F.col("common"), F.col("n_a") - F.col("common")
+    named = named.withColumns({"more": more, "less": less})
+    # The difference is at least that of the elements beyond L, less twice the shared ones, and that of those of L.
+    beyond = F.expr("x.more + y.more + abs(x.less - y.less)")
+    room = F.floor((F.col("x.n_b") + F.col("y.n_b")) * (100 - PERCENT) / (100 + PERCENT))
+    fit = fit & (beyond - 2 * F.least("x.more", "y.more") <= room)
+    slim = ["a", "b", "n_b", "component", "home", "more", "less"]
+    # (i): r and s share an element that L lacks. Beyond the listed ones they share at most what one has left.
+    left = (F.col("more") - F.size("own")).alias("left")
+    r = unlike.withColumns({"more": more, "less": less}).select(*slim, left, F.explode("own").alias("element")).alias("x")
+    s = named.select(*slim, left, F.explode("own").alias("element")).alias("y")
     sharing = r.join(s, F.expr("x.a = y.a and x.element = y.element") & fit)
+    hidden = F.greatest("x.left", "y.left")
+    sharing = sharing.groupBy(F.col("x.a").alias("leader"), F.col("x.b").alias("xb"), F.col("y.b").alias("yb")).agg(
+        F.first(room).alias("room"), (F.first(beyond) - 2 * (F.count("*") + F.first(hidden))).alias("apart")
+    )
+    sharing = sharing.filter("apart <= room")
     # (ii): sizes that s can have, from the least that fits r.
     d = F.col("n_a") + F.col("n_b") - 2 * F.col("common")
     most = F.floor((9 * (F.col("n_a") - d) + F.col("n_b")) / 8).cast("int")
     least = F.ceil(F.col("n_b") * PERCENT / 100).cast("int")
-    r = unlike.withColumns({"least": least, "most": most}).filter("most >= least")
+    r = unlike.withColumns({"more": more, "less": less, "least": least, "most": most}).filter("most >= least")
     r = r.select(*slim, F.explode(F.sequence("least", "most")).alias("size")).alias("x")
     smaller = r.join(named.select(*slim).alias("y"), F.expr("x.a = y.a and x.size = y.n_b") & fit)
-    both = [p.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")) for p in (sharing, smaller)]
-    return both[0].unionByName(both[1]).distinct()
+    smaller = smaller.select(F.col("x.b").alias("xb"), F.col("y.b").alias("yb"))
+    both = sharing.select("xb", "yb").unionByName(smaller)
+    return both.select(F.least("xb", "yb").alias("a"), F.greatest("xb", "yb").alias("b")).distinct()
 
 
 def link_sets(docs: DataFrame, index: DataFrame) -> DataFrame | None:
