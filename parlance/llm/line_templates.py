@@ -74,7 +74,8 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
                 for number, line in enumerate((text.as_py() or b"").split(b"\n")):
                     tokens = tokens_of(line)
                     if tokens:
-                        found.append((number, leaf_of(tokens, depth), _hash(b" ".join(tokens)), len(tokens)))
+                        named = len(tokens) if 2 * tokens.count(VARIABLE) <= len(tokens) else 0
+                        found.append((number, leaf_of(tokens, depth), _hash(b" ".join(tokens)), named))
                 for k, (number, leaf, kind, n) in enumerate(found):
                     if n >= min_tokens:
                         before = found[k - 1][1] if k else None
@@ -183,7 +184,8 @@ def drop_recurring_lines(
     A template recurs if lines with it stand in at least `min_docs` documents and as many independent
     places (see `_recurring`). Whole documents that are copies, exact or near, have the same lines
     around it everywhere; their lines stay, for they are no boilerplate but a matter of document
-    dedup. Lines with fewer than `min_tokens` tokens have no template.
+    dedup. Lines with fewer than `min_tokens` tokens, or of which more than half
+    are variable, have no template.
 
     `text` is replaced; all other columns stay as they are, so a column named n_lines or n_dropped is
     overwritten. A null text stays null with 0 lines; a document can be left with an empty text.

@@ -255,7 +255,7 @@ def _further(compared: DataFrame, labels: DataFrame) -> DataFrame:
     mixed = named.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
     named = stored(named.join(mixed, "a"), "unsettled")
     unlike = named.filter(~F.col("linked"))
-    fit = F.expr("x.b <> y.b and x.component <> y.component and (x.home <> y.home or x.home = x.a)") & (
+    fit = F.expr("x.b <> y.b and x.component <> y.component and (x.home <> y.home or x.home = x.a) and (y.linked or x.b < y.b)") & (
         100 * F.least("x.n_b", "y.n_b") >= PERCENT * F.greatest("x.n_b", "y.n_b")
     )
     more, less = F.col("n_b") - F.col("common"), F.col("n_a") - F.col("common")
@@ -264,7 +264,7 @@ def _further(compared: DataFrame, labels: DataFrame) -> DataFrame:
     beyond = F.expr("x.more + y.more + abs(x.less - y.less)")
     room = F.floor((F.col("x.n_b") + F.col("y.n_b")) * (100 - PERCENT) / (100 + PERCENT))
     fit = fit & (beyond - 2 * F.least("x.more", "y.more") <= room)
-    slim = ["a", "b", "n_b", "component", "home", "more", "less"]
+    slim = ["a", "b", "n_b", "component", "home", "linked", "more", "less"]
     # (i): r and s share an element that L lacks. Beyond the listed ones they share at most what one has left.
     left = (F.col("more") - F.size("own")).alias("left")
     r = unlike.withColumns({"more": more, "less": less}).select(*slim, left, F.explode("own").alias("element")).alias("x")
