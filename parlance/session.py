@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -31,10 +29,12 @@ def materialized(df: DataFrame) -> DataFrame:
     """Compute a DataFrame once for several readers, in the cluster's checkpoint folder.
 
     The folder is the one the cluster names in `spark.checkpoint.dir`, so a lost executor loses
-    nothing; only a session without any, as in tests, gets a temporary one.
+    nothing; in a session without any the readers share the plan alone.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+        if not named:
+            return df
+        context.setCheckpointDir(named)
+    return df.checkpoint(eager=False)
