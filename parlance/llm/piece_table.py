@@ -21,7 +21,9 @@ from parlance.llm.common import arrow_rows, texts
 
 MARK = "▁"
 #: Entries a worker keeps of words seen and of pairs tested; beyond that it starts anew.
-MEMO = 1_000_000
+MEMO = 700_000
+#: Tokens of a task that are held before they are passed on.
+FLUSH_TOKENS = 500_000
 #: Steps a worker keeps of each state of the automaton.
 MEMO_STEPS = 10_000
 #: Longer words are encoded each time.
@@ -211,12 +213,14 @@ def encode_pieces(docs: DataFrame, model: bytes, fields: tuple[str, ...] = ("ids
         end = [own.library.eos_id()] if end_id else []
         for batch in batches:
             rows: list[list] = [[] for _ in fields]
-            for text in batch.column(1):
+            start = held = 0
+            for at, text in enumerate(batch.column(1)):
                 ids = own.encode(text.as_py() or "") + end
+                held += len(ids)
                 decoded = own.decode(ids) if any(f.startswith("decoded") for f in fields) else ""
                 for column, field in zip(rows, fields):
                     if field == "ids":
-                        column.append(ids)
+                        column.append(np.array(ids, np.int32))
                     elif field == "n_tokens":
                         column.append(len(ids))
                     elif field == "ids_sha256":
@@ -225,7 +229,11 @@ def encode_pieces(docs: DataFrame, model: bytes, fields: tuple[str, ...] = ("ids
                         column.append(decoded)
                     else:
                         column.append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield arrow_rows(schema, [batch.column(0), *rows])
+                if held >= FLUSH_TOKENS:
+                    yield arrow_rows(schema, [batch.column(0).slice(start, at + 1 - start), *rows])
+                    rows, start, held = [[] for _ in fields], at + 1, 0
+            if start < batch.num_rows:
+                yield arrow_rows(schema, [batch.column(0).slice(start), *rows])
 
     spark_types = {"ids": "array<int>", "n_tokens": "long"}
     kinds = ", ".join(f"{f} {spark_types.get(f, 'string')}" for f in fields)

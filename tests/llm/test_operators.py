@@ -31,7 +31,7 @@ def test_pieces_equal_the_library(docs):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     r = random.Random(3)
     made = [(100 + k, "".join(r.choice("abcdethe ingr \n▁éñ😀ßü.,#  \t\x00") for _ in range(r.randrange(80)))) for k in range(300)]
-    given = [*ODD, *made, (9, "the" * 5000), (10, " " * 100 + "x")]
+    given = [*ODD, *made, (9, "the" * 5000), (11, "a b " * 400_000), (12, "after it"), (10, " " * 100 + "x")]
     got = piece_table.encode_pieces(docs(given), read_bytes(PIECE_MODEL), ("ids", "n_tokens", "ids_sha256", "decoded"))
     by_id = collections.defaultdict(list)
     for row in got.collect():
