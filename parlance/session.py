@@ -14,6 +14,9 @@ SETTINGS = {
     # Rank limits up to the largest one used are applied before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10001",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # What a Python worker holds of its input at once, besides one row of any length.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
 }
 
