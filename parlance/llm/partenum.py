@@ -27,7 +27,8 @@ PARTITIONS, SMALL_BANDS, SMALL_PARTITIONS = 1.25, 6, 1 << 20
 COUNTERS = 1 << 19
 #: Up to so many documents are looked up by a table sent to all executors; more by a shuffle.
 BROADCAST_DOCS = 1_000_000
-MEMO = 500_000
+#: Words a task remembers the hash of; beyond that it starts anew.
+MEMO = 150_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15)

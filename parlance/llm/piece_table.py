@@ -21,7 +21,7 @@ from parlance.llm.common import arrow_rows, texts
 
 MARK = "▁"
 #: Entries a worker keeps of words seen and of pairs tested; beyond that it starts anew.
-MEMO = 700_000
+MEMO = 250_000
 #: Tokens of a task that are held before they are passed on.
 FLUSH_TOKENS = 500_000
 #: Steps a worker keeps of each state of the automaton.
