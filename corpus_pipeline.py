@@ -20,12 +20,14 @@ from parlance.session import configure
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those whose text is null or has no letter go."""
+    configure(spark)
     judge = language_columns(spark, *learn(docs))
     return docs.withColumn("__judged", judge(F.col("text"))).filter(F.col("__judged.lang_pred") != UNKNOWN).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of recurring templates; those of which no word is left go."""
+    configure(spark)
     cleaned = drop_recurring_lines(docs.withColumn("__n", F.col("n_chars")))
     left = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("__n"))
@@ -34,17 +36,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    configure(spark)
     return keep_one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
+    configure(spark)
     leaks = leak_columns(spark, table(spark, sf_dir, "benchmark"))
     return docs.filter(~leaks(F.col("text")))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and digests of them and of the text they decode to."""
+    configure(spark)
     return encode_pieces(docs, read_bytes(PIECE_MODEL), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
@@ -62,7 +67,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each result stored as Parquet and read again by the next stage."""
-    configure(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
