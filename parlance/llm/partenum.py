@@ -175,7 +175,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with sizes n_a, n_b, the number of `common` elements and whether they are `linked`.
 
-    `own`: the first k + 1 elements of b that a lacks, k being b's tolerance.
+    `own`: the first elements of b that a lacks, as many as a linked set may lack of b, and one more.
     """
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("of_b"))
@@ -184,7 +184,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         {"n_a": F.size("of_a"), "n_b": F.size("of_b"), "common": F.size(F.array_intersect("of_a", "of_b"))}
     )
     united = F.col("n_a") + F.col("n_b") - F.col("common")
-    first = F.floor(F.col("n_b") * (100 - PERCENT) / PERCENT).cast("int") + 1
+    first = F.floor(F.col("n_b") * (100 - PERCENT) / 100).cast("int") + 1
     return sized.select(
         "a",
         "b",
@@ -239,8 +239,8 @@ def _further(compared: DataFrame, labels: DataFrame) -> DataFrame:
 
     Let r be unlike the leader L, d its difference from it, and s another set that was compared with L.
     Unless r and s share an element that L lacks, their difference is at least d + |s| - |L|. So they
-    link only if (i) they share such an element, and then one of the first k + 1 of each, or (ii) s is
-    so much smaller than L that 9 * (d + |s| - |L|) <= |r| + |s|. Both are joins on equality: on an
+    link only if (i) they share such an element, and then, as each holds 0.8 of the other, one of the
+    `own` of each, or (ii) s is so much smaller than L that 9 * (d + |s| - |L|) <= |r| + |s|. Both are joins on equality: on an
     element, and on the size of s. Two sets whose home, the leader of most sets among those they were
     compared with, is the same are looked at there alone.
     """
