@@ -59,7 +59,8 @@ _ISSUES_SQL = f"""issues AS (
   UNION ALL SELECT {_P}, 'duplicate_content_type_override', '[Content_Types].xml', 'word/document.xml' FROM documents WHERE doc_id % 6 = 0
   UNION ALL SELECT {_P}, 'duplicate_relationship_id', '_rels/.rels', 'r1' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 4 = 0
   UNION ALL SELECT {_P}, 'missing_relationship_target', '_rels/.rels', 'word/lost.xml' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 4 = 0
-  UNION ALL SELECT {_P}, 'unsafe_relationship_target', '_rels/.rels', '../out.xml' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 11 = 0)"""
+  UNION ALL SELECT {_P}, 'unsafe_relationship_target', '_rels/.rels', '../out.xml' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 11 = 0
+  UNION ALL SELECT {_P}, 'xml_parse_error', '../evil.xml', '../evil.xml' FROM documents WHERE doc_id % 13 = 0)"""
 
 
 def _issues(spark, sf_dir):

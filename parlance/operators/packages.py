@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.ordered import cap_per_group, missing_names
-from parlance.sources.packages import unsafe_member
+from parlance.sources.packages import WORD, unsafe_member
 
 # Limits, required parts and tags.
 MAX_MEMBERS = 20_000
@@ -36,10 +36,12 @@ def package_profile(
     max_total: int = MAX_TOTAL_BYTES,
     max_member: int = MAX_MEMBER_BYTES,
 ) -> DataFrame:
-    """Totals, missing required parts and the first broken limit per package."""
+    """Totals, missing required parts and the first broken limit per package; of one that cannot
+    be read, its error and no members."""
     name = F.col("name")
     totals = members.groupBy("path").agg(
-        F.count("*").alias("member_count"),
+        F.count("name").alias("member_count"),
+        F.max("error").alias("_unreadable"),
         F.sum("size").alias("uncompressed_bytes"),
         F.count_if(name.endswith(".xml") | name.endswith(".rels")).alias("xml_part_count"),
         F.count_if(name.startswith(media_prefix) & ~F.col("is_dir")).alias("media_count"),
@@ -55,13 +57,14 @@ def package_profile(
         ).alias("missing_required_parts"),
     )
     error = (
-        F.when(F.col("member_count") > max_members, "too_many_members")
+        F.when(F.col("_unreadable").isNotNull(), F.col("_unreadable"))
+        .when(F.col("member_count") > max_members, "too_many_members")
         .when(F.col("_unsafe"), "unsafe_name")
         .when(F.col("_link"), "symbolic_link")
         .when(F.col("_largest") > max_member, "member_too_large")
         .when(F.col("uncompressed_bytes") > max_total, "package_too_large")
     )
-    return totals.withColumn("error", error).drop("_unsafe", "_link", "_largest")
+    return totals.withColumn("error", error).drop("_unsafe", "_link", "_largest", "_unreadable")
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,11 +84,12 @@ def dangling_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def edge_issues(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """(path, code, part, slide, message) of relationships and content types, in one pass: a key
-    is reported for every occurrence after its first, a missing key for each occurrence."""
+    """(path, code, part, slide, message) of packages and parts that cannot be read, relationships
+    and content types, in one pass: a key is reported for every occurrence after its first, a
+    missing key for each occurrence."""
     relation = F.col("kind") == "relationship"
     override = F.col("kind") == "override"
-    have = members.select(
+    have = members.filter(F.col("name").isNotNull()).select(
         "path", F.col("name").alias("resolved"), F.lit(True).alias("_present")
     ).distinct()
     checked = edges.join(have, ["path", "resolved"], "left")
@@ -113,6 +117,7 @@ def edge_issues(edges: DataFrame, members: DataFrame) -> DataFrame:
         ),
         found(override & lost, "missing_content_type_part", F.col("resolved")),
         found(F.col("kind") == "broken", "xml_parse_error", F.col("part")),
+        found(F.col("error").isNotNull(), "unreadable_package", F.col("error")),
     )
     issues = checked.select("path", "part", F.explode(F.array_compact(codes)).alias("_issue"))
     return issues.select(
@@ -136,6 +141,11 @@ def undeclared_axes(elements: DataFrame) -> DataFrame:
     return lost.join(charts, ["path", "part"], "left_semi")
 
 
+def _in_document(elements: DataFrame) -> DataFrame:
+    """Elements of the word processing namespace in parts below `word/`."""
+    return elements.filter(F.col("part").startswith("word/") & (F.col("namespace") == WORD))
+
+
 def revision_summary(elements: DataFrame) -> DataFrame:
     """Tracked changes per package: counts by kind, total, missing author or date."""
     tag = F.col("tag")
@@ -143,7 +153,7 @@ def revision_summary(elements: DataFrame) -> DataFrame:
     changed = tag.isin(*PROPERTY_CHANGES)
     no_author = F.coalesce(F.col("author"), F.lit("")) == ""
     no_date = F.coalesce(F.col("date"), F.lit("")) == ""
-    return elements.filter(tracked | changed).groupBy("path").agg(
+    return _in_document(elements).filter(tracked | changed).groupBy("path").agg(
         F.count_if(tag == "ins").alias("insertions"),
         F.count_if(tag == "del").alias("deletions"),
         F.count_if(tag == "moveFrom").alias("moves_from"),
@@ -158,7 +168,7 @@ def revision_summary(elements: DataFrame) -> DataFrame:
 def revision_authors(elements: DataFrame) -> DataFrame:
     """Distinct (path, author) of tracked changes."""
     tracked = F.col("tag").isin("ins", "del", "moveFrom", "moveTo", *PROPERTY_CHANGES)
-    return elements.filter(tracked & (F.col("author") != "")).select("path", "author").distinct()
+    return _in_document(elements).filter(tracked & (F.col("author") != "")).select("path", "author").distinct()
 
 
 def comment_balance(elements: DataFrame) -> DataFrame:

@@ -7,25 +7,23 @@ All three readers take a DataFrame of files (path, content), so they work on a f
 from __future__ import annotations
 
 import io
-import posixpath
 import stat
 import zipfile
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_PACKAGE_BYTES = 256 * 1024 * 1024
-MAX_PART_BYTES = 128 * 1024 * 1024
 ROWS_PER_BATCH = 20_000
 
 # XML namespaces, the legacy file signature and workbook content types.
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 RELATIONSHIPS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
+OFFICE_RELATIONSHIPS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 CONTENT_TYPES = "{http://schemas.openxmlformats.org/package/2006/content-types}"
 LEGACY_MAGIC = "D0CF11E0A1B11AE1"
 WORKBOOK_TYPES = {
@@ -35,6 +33,12 @@ WORKBOOK_TYPES = {
     "application/vnd.ms-excel.template.macroEnabled.main+xml": ".xltm",
 }
 
+#: What a damaged archive, stream, checksum, encoding or XML part raises.
+DAMAGED = (
+    zipfile.BadZipFile, zlib.error, ElementTree.ParseError, NotImplementedError, RuntimeError,
+    EOFError, LookupError, ValueError, OSError,
+)
+
 ELEMENT_TAGS = {
     "ins", "del", "moveFrom", "moveTo", "pPrChange", "rPrChange", "tblPrChange", "tblGridChange",
     "trPrChange", "tcPrChange", "sectPrChange", "numberingChange", "comment",
@@ -43,10 +47,18 @@ ELEMENT_TAGS = {
 }
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Package files under a path; the size filter runs before contents are read."""
+def read_files(
+    spark: SparkSession, path: str, pattern: str = "*", max_bytes: int | None = None
+) -> DataFrame:
+    """Package files under a path. Of files above `max_bytes` the content is not read but null,
+    which the readers below report as `too_large`."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.filter(F.col("length") <= MAX_PACKAGE_BYTES).select("path", "content")
+    if max_bytes is None:
+        return files.select("path", "content")
+    large = files.filter(F.col("length") > max_bytes)
+    return files.filter(F.col("length") <= max_bytes).select("path", "content").unionByName(
+        large.select("path", F.lit(None).cast("binary").alias("content"))
+    )
 
 
 def _per_file(
@@ -54,18 +66,28 @@ def _per_file(
 ) -> DataFrame:
     """Run a row generator over every file; an unreadable package gives one row with `error`."""
 
+    def rows(path: str, content: bytes | None) -> Iterator[tuple]:
+        if content is None:
+            yield (path, *[None] * (len(names) - 2), "too_large")
+            return
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(content))
+        except DAMAGED:
+            yield (path, *[None] * (len(names) - 2), "bad_package")
+            return
+        with archive:
+            for row in rows_of(archive):
+                yield path, *row
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        held.extend((path, *row) for row in rows_of(archive))
-                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError):
-                    held.append((path, *[None] * (len(names) - 2), "bad_package"))
-                if len(held) >= ROWS_PER_BATCH:
-                    yield pd.DataFrame(held, columns=names, dtype=object)
-                    held = []
+                for row in rows(path, content):
+                    held.append(row)
+                    if len(held) >= ROWS_PER_BATCH:
+                        yield pd.DataFrame(held, columns=names, dtype=object)
+                        held = []
         yield pd.DataFrame(held, columns=names, dtype=object)
 
     return files.select("path", "content").mapInPandas(read, schema)
@@ -88,85 +110,101 @@ def package_members(files: DataFrame) -> DataFrame:
 
 
 def _xml_parts(archive, wanted: Callable[[str], bool]) -> Iterator[tuple]:
-    """(name, root or None when it is no XML) of each wanted part, the first of equal names."""
+    """(name, root or None when it cannot be read as XML) of each wanted part, the first of equal names."""
     for name in dict.fromkeys(archive.namelist()):
         if wanted(name):
             try:
-                if archive.getinfo(name).file_size > MAX_PART_BYTES:
-                    yield name, None
-                    continue
-                yield name, ElementTree.fromstring(archive.read(name))
-            except ElementTree.ParseError:
-                yield name, None
-
-
-def _owner(rels_name: str) -> str:
-    folder, name = posixpath.split(rels_name)
-    if rels_name == "_rels/.rels" or posixpath.basename(folder) != "_rels":
-        return ""
-    return posixpath.join(posixpath.dirname(folder), name[: -len(".rels")])
-
-
-def resolve_target(owner: str, target: str) -> tuple[str | None, bool]:
-    """(member name the target points to, whether it leaves the package)."""
-    if not target or target.startswith("#"):
-        return None, False
-    target = unquote(target).replace("\\", "/")
-    if target.startswith("/"):
-        name = posixpath.normpath(target.lstrip("/"))
-    else:
-        name = posixpath.normpath(posixpath.join(posixpath.dirname(owner), target))
-    if name == ".." or name.startswith("../"):
-        return None, True
-    return name.lstrip("./"), False
+                root = ElementTree.fromstring(archive.read(name))
+            except DAMAGED:
+                root = None
+            yield name, root
+
+
+def _target_place(part: Column, target: Column) -> Column:
+    """struct(names, outside): the path of a relationship target from the package root.
+
+    A relationship part lies in the folder `_rels` beside its source; targets without a leading
+    slash start at the folder of the source. A path that climbs above the root is outside.
+    """
+    steps = F.split(part, "/")
+    depth = F.size(steps) - 2
+    beside = F.when(F.get(steps, depth) == "_rels", F.slice(steps, F.lit(1), F.greatest(depth, F.lit(0))))
+    nowhere = F.array().cast("array<string>")
+    # `+` is an ordinary character in a package path; broken escapes stay as they are.
+    plain = F.coalesce(F.try_url_decode(F.replace(target, F.lit("+"), F.lit("%2B"))), target)
+    plain = F.translate(plain, "\\", "/")
+    start = F.when(plain.startswith("/"), nowhere).otherwise(F.coalesce(beside, nowhere))
+
+    def walk(at: Column, step: Column) -> Column:
+        up = F.slice(at["names"], F.lit(1), F.greatest(F.size(at["names"]) - 1, F.lit(0)))
+        names = F.when(step == "..", up).when(step.isin("", "."), at["names"])
+        return F.struct(
+            names.otherwise(F.concat(at["names"], F.array(step))).alias("names"),
+            (at["outside"] | ((step == "..") & (F.size(at["names"]) == 0))).alias("outside"),
+        )
+
+    root = F.struct(nowhere.alias("names"), F.lit(False).alias("outside"))
+    return F.aggregate(F.concat(start, F.split(plain, "/")), root, walk)
+
+
+def resolved_target(part: Column, target: Column) -> Column:
+    """struct(resolved, escapes): the member a target points to, and whether it leaves the package."""
+    place = _target_place(part, target)
+    inner = (target != "") & ~target.startswith("#")
+    name = F.when(inner & ~place["outside"], F.array_join(place["names"], "/"))
+    return F.struct(name.alias("resolved"), F.coalesce(inner & place["outside"], F.lit(False)).alias("escapes"))
 
 
 def package_edges(files: DataFrame) -> DataFrame:
     """(path, part, kind, seq, rel_id, type, target, mode, resolved, escapes, nth, error).
 
-    `nth` counts the occurrences of the same relationship id or part name inside its part. Kind `relationship` is a row of a `.rels` part, kind `override` one of the content types,
-    kind `broken` a part that is no XML.
+    `nth` counts the occurrences of the same relationship id or part name inside its part. Kind
+    `relationship` is a row of a `.rels` part, kind `override` one of the content types, kind
+    `broken` any XML part that cannot be read.
     """
 
     def rows(archive):
-        parts = _xml_parts(
-            archive, lambda n: n.endswith(".rels") or n == "[Content_Types].xml"
-        )
-        for name, root in parts:
+        for name, root in _xml_parts(archive, lambda n: n.endswith((".rels", ".xml"))):
             seen: Counter = Counter()
             if root is None:
-                yield name, "broken", 0, None, None, None, None, None, False, 1, None
+                yield name, "broken", 0, None, None, None, None, 1, None
             elif name.endswith(".rels"):
-                owner = _owner(name)
                 for seq, node in enumerate(root.findall(f"{RELATIONSHIPS}Relationship")):
                     get = node.attrib.get
-                    external = get("TargetMode") == "External"
-                    target, key = get("Target", ""), get("Id", "")
-                    resolved, escapes = (None, False) if external else resolve_target(owner, target)
+                    key = get("Id", "")
                     seen[key] += 1
-                    yield (name, "relationship", seq, key, get("Type", ""), target,
-                           get("TargetMode"), resolved, escapes, seen[key], None)
-            else:
+                    yield (name, "relationship", seq, key, get("Type", ""), get("Target", ""),
+                           get("TargetMode"), seen[key], None)
+            elif name == "[Content_Types].xml":
                 for seq, node in enumerate(root.findall(f"{CONTENT_TYPES}Override")):
                     part = node.attrib.get("PartName", "")
                     key = part.lstrip("/")
                     seen[key] += 1
                     yield (name, "override", seq, None, node.attrib.get("ContentType", ""), part,
-                           None, key or None, False, seen[key], None)
+                           None, seen[key], None)
 
-    return _per_file(
+    read = _per_file(
         files,
         "path string, part string, kind string, seq int, rel_id string, type string, "
-        "target string, mode string, resolved string, escapes boolean, nth int, error string",
-        ["path", "part", "kind", "seq", "rel_id", "type", "target", "mode", "resolved", "escapes",
-         "nth", "error"],
+        "target string, mode string, nth int, error string",
+        ["path", "part", "kind", "seq", "rel_id", "type", "target", "mode", "nth", "error"],
         rows,
     )
+    relation = (F.col("kind") == "relationship") & ~F.col("mode").eqNullSafe("External")
+    place = F.when(relation, resolved_target(F.col("part"), F.col("target")))
+    declared = F.nullif(F.regexp_replace("target", "^/+", ""), F.lit(""))
+    return read.withColumn("_place", place).select(
+        "path", "part", "kind", "seq", "rel_id", "type", "target", "mode",
+        F.when(F.col("kind") == "override", declared).otherwise(F.col("_place.resolved")).alias("resolved"),
+        F.coalesce("_place.escapes", F.lit(False)).alias("escapes"),
+        "nth", "error",
+    )
 
 
 def package_elements(files: DataFrame) -> DataFrame:
-    """(path, part, seq, tag, parent, id, author, date, val, error): revision, comment, slide and
-    axis elements of the XML parts."""
+    """(path, part, seq, tag, namespace, parent, id, rel_id, author, date, val, error): revision,
+    comment, slide and axis elements of the XML parts. `rel_id` is an id that names a relationship.
+    A part that cannot be read gives one row with the error `invalid_xml`."""
 
     def local(tag: str) -> str:
         return tag.rsplit("}", 1)[-1]
@@ -174,20 +212,25 @@ def package_elements(files: DataFrame) -> DataFrame:
     def rows(archive):
         for name, root in _xml_parts(archive, lambda n: n.endswith(".xml")):
             if root is None:
+                yield (name, *[None] * 9, "invalid_xml")
                 continue
             parents = {id(child): local(node.tag) for node in root.iter() for child in node}
             for seq, node in enumerate(root.iter()):
                 tag = local(node.tag)
                 if tag in ELEMENT_TAGS:
-                    got = {local(key): value for key, value in node.attrib.items()}
-                    yield (name, seq, tag, parents.get(id(node)), got.get("id"),
+                    related = node.attrib.get(f"{OFFICE_RELATIONSHIPS}id")
+                    got = {
+                        local(key): value for key, value in node.attrib.items()
+                        if not key.startswith(OFFICE_RELATIONSHIPS)
+                    }
+                    yield (name, seq, tag, node.tag[: -len(tag)], parents.get(id(node)), got.get("id"), related,
                            got.get("author"), got.get("date"), got.get("val"), None)
 
     return _per_file(
         files,
-        "path string, part string, seq int, tag string, parent string, id string, author string, "
-        "date string, val string, error string",
-        ["path", "part", "seq", "tag", "parent", "id", "author", "date", "val", "error"],
+        "path string, part string, seq int, tag string, namespace string, parent string, id string, "
+        "rel_id string, author string, date string, val string, error string",
+        ["path", "part", "seq", "tag", "namespace", "parent", "id", "rel_id", "author", "date", "val", "error"],
         rows,
     )
 
