@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ENCODINGS = ("utf-8", "utf-8-sig", "gb18030", "gbk")
-SNIFFED_BYTES = 1024 * 1024
-# Files beyond this are not read whole; `read_rectangular` splits them instead.
-WHOLE_FILE_BYTES = 64 * 1024 * 1024
+# Marks of UTF-16, and how files of markup begin.
+UTF16_MARKS = (b"\xff\xfe", b"\xfe\xff")
+MARKUP = ("<!doctype html", "<html", "<?xml")
 ROWS_PER_BATCH = 20_000
 
 
@@ -28,6 +29,7 @@ def delimited_cells(files: DataFrame, sep: str | None = None, encoding: str = "u
         raise ValueError(f"unsupported encoding: {encoding}")
 
     def rows_of(path: str, content: bytes) -> Iterator[tuple]:
+        csv.field_size_limit(sys.maxsize)  # cells of any length
         delimiter = sep or ("\t" if path.lower().endswith(".tsv") else ",")
         text = io.TextIOWrapper(io.BytesIO(content), encoding=encoding, newline="")
         try:
@@ -55,9 +57,8 @@ def delimited_cells(files: DataFrame, sep: str | None = None, encoding: str = "u
 def read_delimited(
     spark: SparkSession, path: str, sep: str | None = None, encoding: str = "utf-8-sig"
 ) -> DataFrame:
-    """Cells of all files under a path up to 64 MiB each; the size filter runs before the read."""
-    files = spark.read.format("binaryFile").load(path)
-    return delimited_cells(files.filter(F.col("length") <= WHOLE_FILE_BYTES), sep, encoding)
+    """Cells of all files under a path. A file is read whole; `read_rectangular` splits large ones."""
+    return delimited_cells(spark.read.format("binaryFile").load(path), sep, encoding)
 
 
 def _allow(spark: SparkSession, encoding: str) -> None:
@@ -96,39 +97,34 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", encoding: str = "u
     )
 
 
-def _sniff_one(prefix: bytes) -> tuple[str | None, str | None]:
-    if not prefix:
-        return None, "empty"
-    if prefix.startswith((b"\xff\xfe", b"\xfe\xff")):
-        tried = ("utf-16",)
-    elif b"\x00" in prefix:
-        return None, "binary"
-    else:
-        tried = ("utf-8-sig", "gb18030")
-    for encoding in tried:
+@F.pandas_udf(T.StringType())
+def _decoded(content: pd.Series) -> pd.Series:
+    """Text of bytes that are no UTF-8: UTF-16 if they start with its mark, else GB18030; null if neither."""
+
+    def text(raw: bytes | None) -> str | None:
         try:
-            text = prefix.decode(encoding)
+            return None if raw is None else raw.decode("utf-16" if raw[:2] in UTF16_MARKS else "gb18030")
         except UnicodeDecodeError:
-            continue
-        start = text.lstrip("﻿\r\n\t ").lower()
-        if not start:
-            return None, "blank"
-        if start.startswith(("<!doctype html", "<html", "<?xml")):
-            return None, "markup"
-        return encoding, None
-    return None, "undecodable"
-
-
-_SNIFFED = T.StructType(
-    [T.StructField("encoding", T.StringType()), T.StructField("error", T.StringType())]
-)
+            return None
 
-
-@F.pandas_udf(_SNIFFED)
-def _sniff(prefix: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(list(map(_sniff_one, prefix)), columns=["encoding", "error"])
+    return content.map(text)
 
 
 def sniff_delimited(content: Column) -> Column:
-    """struct(encoding, error) from the first MiB of a file."""
-    return _sniff(F.substring(content, 1, SNIFFED_BYTES))
+    """struct(encoding, error) of a whole file: text of a known encoding, or why it is none."""
+    wide = F.substring(content, 1, 2).isin(*[F.lit(mark) for mark in UTF16_MARKS])
+    unicode = F.is_valid_utf8(content.cast("string")) & ~wide
+    text = F.when(unicode, content.cast("string")).otherwise(_decoded(F.when(~unicode, content)))
+    start = F.lower(F.regexp_replace(text, "^[\ufeff\r\n\t ]+", ""))
+    markup = F.lit(False)
+    for opening in MARKUP:
+        markup = markup | start.startswith(opening)
+    error = (
+        F.when(F.coalesce(F.length(content), F.lit(0)) == 0, "empty")
+        .when(~wide & F.contains(content, F.lit(b"\x00")), "binary")
+        .when(text.isNull(), "undecodable")
+        .when(start == "", "blank")
+        .when(markup, "markup")
+    )
+    encoding = F.when(wide, "utf-16").when(unicode, "utf-8-sig").otherwise("gb18030")
+    return F.struct(F.when(error.isNull(), encoding).alias("encoding"), error.alias("error"))
