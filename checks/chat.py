@@ -61,7 +61,7 @@ def safe_cell_sql(col: str) -> str:
     SELECT room, row_number() OVER (PARTITION BY room ORDER BY created_at, id, roster_id) AS seq,
       {local_time_sql('created_at')} AS sent_at, {safe_cell_sql('sender_name')} AS sender_name,
       {safe_cell_sql('sender_wxid')} AS sender_wxid, {safe_cell_sql('message')} AS message
-    FROM exported QUALIFY count(*) OVER (PARTITION BY room) <= 50000""",
+    FROM exported""",
 )
 def _chat_export(spark, sf_dir):
     return chat_export(fx.messages(spark, sf_dir), fx.members(spark, sf_dir), SELF_ID, START, END)
@@ -241,7 +241,7 @@ def _referenced_voice(spark, sf_dir):
     "latest_media",
     f"""WITH {fx.MESSAGES_SQL} SELECT from_wxid, sender_wxid, id, type, attachment_url, created_at,
       row_number() OVER (PARTITION BY from_wxid, sender_wxid ORDER BY created_at DESC, id DESC) AS newest
-    FROM messages WHERE type IN (3, 43, 34) QUALIFY newest <= 5""",
+    FROM messages WHERE type IN (3, 43, 34) QUALIFY newest <= 9""",
 )
 def _latest_media(spark, sf_dir):
     rows = fx.messages(spark, sf_dir).select(

@@ -14,7 +14,6 @@ from parlance.operators.ordered import first_rows, running_total
 TEXT, APP, IMAGE, VOICE, VIDEO = 1, 49, 3, 34, 43
 EXPORTED_APPS = ("57", "4", "5", "6")
 MEDIA_CODES = {"image": IMAGE, "video": VIDEO, "voice": VOICE}
-MAX_MEDIA = 5
 HISTORY_SECONDS = 600
 EXPORT_LIMIT = 50_000
 
@@ -162,24 +161,19 @@ def referenced_voice(refs: DataFrame, msgs: DataFrame) -> DataFrame:
     return refs.join(voices, refs["ref_msg_id"] == voices["msg_id"])
 
 
-def export_seq(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Number messages per room by (created_at, id); a room is cut into minutes.
-
-    Rooms with more rows than `limit` drop out.
-    """
+def export_seq(df: DataFrame) -> DataFrame:
+    """Number messages per room by (created_at, id); a room is cut into minutes."""
     return running_total(
         df,
         keys=["room"],
         order=["created_at", "id", "roster_id"],
         bucket=F.expr("created_at DIV 60"),
         out="seq",
-        limit=limit,
     )
 
 
 def latest_media(df: DataFrame, n: int = 1) -> DataFrame:
-    """The newest n media messages per (room, sender), n at most 5; `position` counts from oldest."""
-    n = min(n, MAX_MEDIA)
+    """The newest n media messages per (room, sender); `newest` counts from the newest one."""
     order = [F.col("created_at").desc(), F.col("id").desc()]
     newest = first_rows(df, ["from_wxid", "sender_wxid"], order, n, rank="newest")
     return newest
@@ -188,7 +182,7 @@ def latest_media(df: DataFrame, n: int = 1) -> DataFrame:
 def media_lists(latest: DataFrame) -> DataFrame:
     """URL lists per (room, sender), oldest first: all and by type, and the rows still to fetch.
 
-    Takes the rows of `latest_media`, hence at most five per group.
+    Takes the rows of `latest_media`, hence at most n per group.
     """
     url = strip(F.coalesce(F.col("attachment_url"), F.lit("")))
     rows = latest.withColumn("url", url)

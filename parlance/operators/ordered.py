@@ -20,12 +20,9 @@ def running_total(
     bucket: Column,
     value: Column | None = None,
     out: str = "seq",
-    limit: int | None = None,
 ) -> DataFrame:
     """Running sum of `value` (running row count without it) per key, including the row itself.
 
-    With `limit`, keys whose whole sum exceeds it drop out before their rows are sorted.
-
     `order` must be unique per key. `bucket` must not decrease along it and should hold a bounded
     number of rows: `pos DIV 4096` for positions, a minute for message times.
     """
@@ -40,17 +37,14 @@ def running_total(
     starts = totals.select(
         "_part",
         F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"),
-        F.sum("_total").over(per_key).alias("_whole"),
     )
-    if limit is not None:
-        starts = starts.filter(F.col("_whole") <= limit)
     inside = (
         Window.partitionBy("_part")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.join(starts.drop("_whole"), "_part")
+        rows.join(starts, "_part")
         .withColumn(out, F.col("_start") + F.sum("_amount").over(inside))
         .select(*df.columns, out)
     )

@@ -9,7 +9,6 @@ from parlance.functions.clock import in_range, local_time
 from parlance.functions.text import safe_cell
 from parlance.operators.messages import (
     APP,
-    EXPORT_LIMIT,
     TEXT,
     app_fields,
     conversation_kind,
@@ -59,12 +58,17 @@ def exportable_messages(
 
 def chat_export(
     messages: DataFrame, roster: DataFrame, self_id: str, start: int, end: int,
-    limit: int = EXPORT_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Numbered export rows of every room within the limit: room, seq, sent_at, names, message."""
-    rows = exportable_messages(messages, roster, self_id, start, end)
-    return export_seq(rows, limit).select(
+    """Numbered export rows of every room: room, seq, sent_at, names, message.
+
+    With `limit`, a column `part` cuts each room into parts of so many rows, counted from 1.
+    """
+    rows = export_seq(exportable_messages(messages, roster, self_id, start, end))
+    part = [] if limit is None else [F.expr(f"(seq - 1) DIV {int(limit)} + 1").alias("part")]
+    return rows.select(
         "room",
+        *part,
         "seq",
         local_time(F.col("created_at")).alias("sent_at"),
         safe_cell(F.col("sender_name")).alias("sender_name"),
