@@ -54,11 +54,11 @@ def test_write_delimited(spark, tmp_path):
 
 def test_sniff(spark):
     files = [b"", b"\xff\xfea\x00,\x00", b"a\x00b", "é,ü".encode(), "价格".encode("gb18030"),
-             b" \n <!DOCTYPE HTML>", b"\xef\xbb\xbf \n", b"\xff\xff\xff"]
-    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(files)], "i int, content binary")
+             b" \n <!DOCTYPE HTML>", b"\xef\xbb\xbf \n", b"\xff\xff\xff", ("a" + "价" * 700_000).encode(), None]
+    df = spark.createDataFrame([(i, None if c is None else bytearray(c)) for i, c in enumerate(files)], "i int, content binary")
     got = [tuple(r.s) for r in df.select("i", delimited.sniff_delimited(F.col("content")).alias("s")).orderBy("i").collect()]
     assert got == [(None, "empty"), ("utf-16", None), (None, "binary"), ("utf-8-sig", None), ("gb18030", None),
-                   (None, "markup"), (None, "blank"), (None, "undecodable")]
+                   (None, "markup"), (None, "blank"), (None, "undecodable"), ("utf-8-sig", None), (None, "empty")]
 
 
 def test_export_files(spark, tmp_path):
@@ -88,9 +88,11 @@ def test_export_limit(spark):
     log, roster = fx.messages(spark, SF), fx.members(spark, SF)
     every = exportable_messages(log, roster, "u3", 0, 2_000_000_000)
     sizes = {r.room: r["count"] for r in every.groupBy("room").count().collect()}
-    limit = sorted(sizes.values())[len(sizes) // 2]
-    rooms = {r.room for r in chat_export(log, roster, "u3", 0, 2_000_000_000, limit).select("room").distinct().collect()}
-    assert rooms == {room for room, n in sizes.items() if n <= limit}
+    cut = chat_export(log, roster, "u3", 0, 2_000_000_000, 3)
+    parts = {(r.room, r.part): r["count"] for r in cut.groupBy("room", "part").count().collect()}
+    assert parts == {
+        (room, k + 1): min(3, n - 3 * k) for room, n in sizes.items() for k in range(-(-n // 3))
+    }
 
 
 def test_table_scans(spark, tmp_path):
@@ -136,6 +138,39 @@ def test_packages_on_disk(spark, tmp_path):
                      "relationship_missing_id", "unsafe_relationship_target", "xml_parse_error"]
 
 
+def test_damaged_packages_are_issues(spark, tmp_path):
+    rel = "http://schemas.openxmlformats.org/package/2006/relationships"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    (tmp_path / "bad.zip").write_bytes(b"not a zip")
+    make_zip(tmp_path / "odd.zip", [
+        ("word/a.xml", b'<?xml version="1.0" encoding="no-such"?><a/>'), ("customXml/item1.xml", "<a><ins/><del/></a>"),
+        ("word/b.xml", f'<w:a xmlns:w="{word}"><w:ins w:author="A"/></w:a>'),
+        ("ppt/p.xml", f'<p xmlns:r="{office}"><sldId id="256" r:id="rId2"/></p>'),
+        ("_rels/.rels", f'<Relationships xmlns="{rel}"><Relationship Id="r" Target=".rels.d/x%2.xml"/></Relationships>'),
+    ])
+    stream = io.BytesIO()
+    with zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("word/c.xml", "<a>" + "text " * 500 + "</a>")
+    raw = bytearray(stream.getvalue())
+    raw[45:60] = b"\xff" * 15
+    (tmp_path / "torn.zip").write_bytes(raw)
+    files = packages.read_files(spark, str(tmp_path))
+    members, edges = packages.package_members(files), packages.package_edges(files)
+    issues = {(r.path.rsplit("/", 1)[-1], r.code, r.message) for r in audits.edge_issues(edges, members).collect()}
+    assert issues == {
+        ("bad.zip", "unreadable_package", "bad_package"), ("odd.zip", "xml_parse_error", "word/a.xml"),
+        ("odd.zip", "missing_relationship_target", ".rels.d/x%2.xml"), ("torn.zip", "xml_parse_error", "word/c.xml"),
+    }
+    profile = {r.path.rsplit("/", 1)[-1]: (r.member_count, r.error) for r in audits.package_profile(members).collect()}
+    assert profile == {"bad.zip": (0, "bad_package"), "odd.zip": (5, None), "torn.zip": (1, None)}
+    elements = packages.package_elements(files)
+    slide = elements.filter("tag = 'sldId'").first()
+    assert (slide.id, slide.rel_id) == ("256", "rId2")
+    assert [(r.insertions, r.deletions, r.total) for r in audits.revision_summary(elements).collect()] == [(1, 0, 1)]
+    assert packages.package_members(packages.read_files(spark, str(tmp_path), "bad.zip", 3)).first().error == "too_large"
+
+
 def test_unsafe_names(one):
     names = ["a/b", "/a", "../a", "a/../b", "C:/x", "", ".", "a:b/c", "./a"]
     assert one(names, "string", packages.unsafe_member) == [

@@ -2,14 +2,13 @@
 
 import random
 import re
-import unicodedata
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from parlance.operators import matching, members, messages, ocr, ordered, pages, settings, textedit
+from parlance.operators import grids, matching, members, messages, ocr, ordered, pages, settings, textedit
 
 
 def rows(df, *order):
@@ -299,73 +298,40 @@ def test_reorder_and_drop(spark):
 # --- OCR -----------------------------------------------------------------------------------
 
 
-def key_of(text):
-    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
-
-
-def alike(a, b, least):
-    if a == b:
-        return True
-    short, long = min(len(a), len(b)), max(len(a), len(b))
-    if short < 3:
-        return False
-    return a in b or (b in a and long <= round(short * 1.25)) or SequenceMatcher(None, a, b).ratio() >= least
-
-
-def judge(lines, native, images):
-    """Plain reading of one page: {idx: reason}."""
-    out, seen = {}, set()
-    for idx, text, box in lines:
-        key = key_of(text)
-        x = sum(p[0] for p in box) / 4 / 1000
-        y = sum(p[1] for p in box) / 4 / 1000
-        near = lambda b, pad: b[0] - pad <= x <= b[2] + pad and b[1] - pad <= y <= b[3] + pad
-        if key and any(
-            alike(key, k, 0.82) or (near(b, 0.01) and alike(key, k, 0.68)) for k, b in native if k
-        ):
-            out[idx] = "native"
-        elif images and not any(near(b, 0.005) for b in images):
-            out[idx] = "outside"
-        elif key and key in seen:
-            out[idx] = "duplicate"
-        else:
-            out[idx] = "kept"
-            seen.add(key)
-    return out
-
-
-def test_line_reasons_like_a_page_reader(spark):
-    rng = random.Random(5)
-    words = ["alpha", "beta", "gamma", "delta", "omega", "über", "ﬁn", "价格", "x1"]
+def test_line_reasons_on_worked_pages(spark):
+    base = "".join(chr(0x4E00 + i) for i in range(50))
+    like = lambda n: base[:n] + "".join(chr(0x5E00 + i) for i in range(50 - n))  # shares n of 50 characters
+    far, here = (0.9, 0.9, 0.95, 0.95), (0.4, 0.4, 0.6, 0.6)
+    # Lines around (0.5, 0.5); native (key, box); images; the reason of each line.
+    pages_ = [
+        ([base], [(base, far)], [], ["native"]),
+        ([base], [(like(41), far)], [], ["native"]),
+        ([base], [(like(40), far)], [], ["kept"]),
+        ([base], [(like(34), here)], [], ["native"]),
+        ([base], [(like(33), here)], [], ["kept"]),
+        ([base], [(like(34), (0.509, 0.4, 0.6, 0.6))], [], ["native"]),
+        ([base], [(like(34), (0.512, 0.4, 0.6, 0.6))], [], ["kept"]),
+        (["Alpha, beta"], [("alphabetagammadelta", far)], [], ["native"]),
+        (["ab"], [("abc", here)], [], ["kept"]),
+        (["ab"], [("ab", far)], [], ["native"]),
+        (["some line"], [], [(0.0, 0.0, 0.496, 0.6)], ["kept"]),
+        (["some line"], [], [(0.0, 0.0, 0.494, 0.6)], ["outside"]),
+        (["some line", "Some  LINE!", "!!", "!!"], [], [here], ["kept", "duplicate", "kept", "kept"]),
+    ]
+    box = [[450.0, 490.0], [550.0, 490.0], [550.0, 510.0], [450.0, 510.0]]
     line_rows, native_rows, image_rows, want = [], [], [], {}
-    for page in range(24):
-        texts = []
-        for i in range(rng.randint(1, 14)):
-            texts.append(rng.choice([" ".join(rng.choices(words, k=rng.randint(1, 8))), "!!", "a", "alpha beta"]))
-        lines, native = [], []
-        for i, text in enumerate(texts):
-            x, y = rng.uniform(0, 800), 10.0 + 60 * i
-            box = [[round(v, 2) for v in p] for p in ((x, y), (x + 150, y), (x + 150, y + 20), (x, y + 20))]
-            lines.append((i, text, box))
-            kind = rng.random()
-            if kind < 0.5:
-                changed = "".join(c if rng.random() > rng.choice([0.05, 0.2, 0.35]) else "q" for c in text)
-                changed = rng.choice([changed, changed + " more words here", changed[: len(changed) // 2]])
-                native.append((key_of(changed), (x / 1000, y / 1000, (x + 150) / 1000, (y + 20) / 1000)))
-        images = [(0.0, 0.0, 0.6, 0.4), (0.3, 0.3, 0.9, 0.6)][: rng.randint(0, 2)]
-        line_rows += [(1, page, i, t, 0.9, b, 1000, 1000) for i, t, b in lines]
+    for page, (texts, native, images, reasons) in enumerate(pages_):
+        line_rows += [(1, page, i, t, 0.9, box, 1000, 1000) for i, t in enumerate(texts)]
         native_rows += [(1, page, k, *b) for k, b in native]
         image_rows += [(1, page, *b) for b in images]
-        want |= {(page, i): r for i, r in judge(lines, native, images).items()}
+        want |= {(page, i): r for i, r in enumerate(reasons)}
     judged = ocr.line_reasons(
         spark.createDataFrame(line_rows, "doc_id int, page int, idx int, text string, confidence double, "
                               "box array<array<double>>, page_width int, page_height int"),
         spark.createDataFrame(native_rows, "doc_id int, page int, key string, x0 double, y0 double, x1 double, y1 double"),
         spark.createDataFrame(image_rows, "doc_id int, page int, x0 double, y0 double, x1 double, y1 double"),
     )
-    got = {(r.page, r.idx): r.reason for r in judged.collect()}
-    assert got == want
-    assert set(want.values()) == {"native", "outside", "duplicate", "kept"}
+    assert {(r.page, r.idx): r.reason for r in judged.collect()} == want
     counts = ocr.ocr_filter_counts(judged).agg(F.sum("raw_ocr_line_count"), F.sum("image_line_count")).first()
     assert tuple(counts) == (len(want), sum(r == "kept" for r in want.values()))
 
@@ -391,41 +357,34 @@ def test_similar_pairs_miss_nothing(spark):
                 assert (a, b) in found
 
 
-def lines_of(words):
-    """Plain grouping of one page's words: list of word lists."""
-    groups, mean = [], None
-    for w in sorted(words, key=lambda w: (round(w["top"] / 2.5), w["x0"])):
-        if mean is None or abs(w["top"] - mean) > 3.0:
-            groups.append([w])
-            mean = w["top"]
-        else:
-            groups[-1].append(w)
-            mean = sum(x["top"] for x in groups[-1]) / len(groups[-1])
-    return [sorted(g, key=lambda w: w["x0"]) for g in groups]
-
-
-def test_group_words_like_a_walk(spark):
-    rng = random.Random(7)
+def test_group_words_on_worked_pages(spark):
+    # Words (text, x0, top) and the lines (text, x0, top of the lowest word) they make.
+    pages_ = [
+        ([("a", 5.0, 10.0), ("b", 50.0, 13.0)], [("a b", 5.0, 13.0)]),
+        ([("a", 5.0, 10.0), ("b", 50.0, 13.1)], [("a", 5.0, 10.0), ("b", 50.0, 13.1)]),
+        ([("a", 5.0, 10.0), ("b", 30.0, 12.5), ("c", 60.0, 14.2)], [("a b c", 5.0, 14.2)]),
+        ([("a", 5.0, 10.0), ("b", 30.0, 12.5), ("c", 60.0, 14.3)], [("a b", 5.0, 12.5), ("c", 60.0, 14.3)]),
+        ([("b", 50.0, 10.0), ("a \t x", 20.0, 11.5)], [("a x b", 20.0, 11.5)]),
+        ([("-", 5.0, 10.0), ("y", 5.0, 100.0), ("x", 4.0, 200.0)], [("y", 5.0, 100.0), ("x", 4.0, 200.0)]),
+    ]
     data, want = [], []
-    for page in range(12):
-        step = rng.choice([1.1, 2.0, 4.0, 14.0])
-        words = []
-        for i in range(rng.randint(1, 60)):
-            top = (i // 6) * step + rng.random() * rng.choice([0.5, 3.0, 6.0])
-            words.append({"idx": i, "text": rng.choice(["a", "b c", "-", "D"]) , "x0": i % 6 * 20 + rng.random(),
-                          "top": top})
-        data += [(1, page, w["idx"], w["text"], w["x0"], w["top"], w["x0"] + 9, w["top"] + 5, 200.0, 300.0) for w in words]
-        for group in lines_of(words):
-            text = re.sub(r"[ \t]+", " ", " ".join(w["text"] for w in group)).strip()
-            if key_of(text):
-                want.append((page, text, round(min(w["x0"] for w in group) / 200, 9),
-                             round(max(w["top"] + 5 for w in group) / 300, 9)))
+    for page, (words, lines) in enumerate(pages_):
+        data += [(1, page, i, t, x, y, x + 9, y + 5, 200.0, 300.0) for i, (t, x, y) in enumerate(words)]
+        want += [(page, t, round(x / 200, 9), round((y + 5) / 300, 9)) for t, x, y in lines]
     df = spark.createDataFrame(data, "doc_id int, page int, idx int, text string, x0 double, top double, "
                                "x1 double, bottom double, width double, height double")
     got = [(r.page, r.text, round(r.x0, 9), round(r.y1, 9)) for r in ocr.group_words(df).collect()]
     assert sorted(got) == sorted(want)
 
 
+def test_scale_position_keeps_all_rows(spark):
+    data = [("a", 1.0), ("a", 3.0), ("a", 5.0), ("a", None), (None, 2.0), (None, 4.0), ("z", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = sorted(((r.k, r.v, r.position) for r in grids.scale_position(df, ["k"], "v").collect()), key=str)
+    assert got == sorted([("a", 1.0, 0.0), ("a", 3.0, 0.5), ("a", 5.0, 1.0), ("a", None, None), (None, 2.0, 0.0),
+                          (None, 4.0, 1.0), ("z", None, None)], key=str)
+
+
 def test_ocr_summary_statuses(spark):
     box = None
     data = [(1, 1, 0, "abcd", 0.9, box), (1, 2, 0, "abcde", 0.6, box), (1, 3, 0, "abcde", 0.59, box),
