@@ -27,8 +27,8 @@ SIMILARITY = 0.7
 #: A leaf gives up to so many generalised templates, each from the lines that the ones before leave over.
 TEMPLATES = 2
 MIN_DOCS, MIN_TOKENS = 3, 4
-#: Independent places for each document with the template, at least.
-SPREAD = 0.1
+#: Places beside the main one of copies count beyond so many times what edits on both sides make by chance.
+EDITS = 2
 #: Up to so many leaves are sent to all executors; more of them are joined by a shuffle.
 BROADCAST_LEAVES = 1_000_000
 
@@ -57,33 +57,36 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """key, line, leaf, kind (hash of the line's tokens), before and after (leaves of its neighbours).
+    """key, line, leaf, kind (hash of the line's tokens), before and after of the lines that have a template.
 
-    Where there is no neighbour, a value that depends on the other one stands for it.
+    `after` stands for the leaves of the lines that follow, up to the next one with a template, `before`
+    for those ahead; null where the document has no line there.
     """
     schema = pa.schema(
         [("key", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("kind", pa.int64()),
          ("before", pa.int64()), ("after", pa.int64())]
     )
 
+    def near(leaves: list[int]) -> int | None:
+        return _hash(b"%d " * len(leaves) % tuple(leaves)) if len(leaves) > 1 else leaves[0] if leaves else None
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = []
+                leaves, found = [], []
                 for number, line in enumerate((text.as_py() or b"").split(b"\n")):
                     tokens = tokens_of(line)
                     if tokens:
-                        named = len(tokens) if 2 * tokens.count(VARIABLE) <= len(tokens) else 0
-                        found.append((number, leaf_of(tokens, depth), _hash(b" ".join(tokens)), named))
-                for k, (number, leaf, kind, n) in enumerate(found):
-                    if n >= min_tokens:
-                        before = found[k - 1][1] if k else None
-                        after = found[k + 1][1] if k + 1 < len(found) else None
-                        sides = (_hash(b"first %d" % (after or 0)) if before is None else before,
-                                 _hash(b"last %d" % (before or 0)) if after is None else after)
-                        for column, value in zip(out, (key, number, leaf, kind, *sides)):
-                            column.append(value)
+                        leaves.append(leaf_of(tokens, depth))
+                        if len(tokens) >= min_tokens and 2 * tokens.count(VARIABLE) <= len(tokens):
+                            found.append((len(leaves) - 1, number, _hash(b" ".join(tokens))))
+                for k, (at, number, kind) in enumerate(found):
+                    low = found[k - 1][0] if k else 0
+                    high = found[k + 1][0] + 1 if k + 1 < len(found) else len(leaves)
+                    sides = near(leaves[low:at]), near(leaves[at + 1 : high])
+                    for column, value in zip(out, (key, number, leaves[at], kind, *sides)):
+                        column.append(value)
             yield arrow_rows(schema, out)
 
     keyed = _keyed(docs).select("__key", raw())
@@ -94,22 +97,81 @@ def _in_documents(lines: DataFrame, by: str, min_docs: int) -> DataFrame:
     return lines.groupBy(by).agg(F.countDistinct("key").alias("docs")).filter(F.col("docs") >= min_docs)
 
 
+def _usual(lines: DataFrame, by: str, side: str) -> DataFrame:
+    """The neighbour on one side that more than half of the lines with a value of `by` have, if there is one."""
+    held = lines.groupBy(by, side).agg(F.count("*").alias("held"))
+    most = held.groupBy(by).agg(F.sum("held").alias("all"), F.max(F.struct("held", side)).alias("top"))
+    usual = most.filter((F.col("top.held") * 2 > F.col("all")) & F.col("top")[side].isNotNull())
+    return usual.select(by, F.col("top")[side].alias(f"usual_{side}"))
+
+
+def _around(lines: DataFrame, often: DataFrame, by: str) -> DataFrame:
+    """Lines with values of `often`; before and after are the neighbours of the block that a line stands in.
+
+    A block goes on as long as each line has its usual neighbour. A neighbour is null where the block
+    reaches the end of the document, or where a later line of it lacks its usual neighbour, as in
+    edited copies; a line that itself lacks it has the neighbour it has.
+    """
+    usual = often.select(by, F.lit(True).alias("often"))
+    for side in ("after", "before"):
+        usual = usual.join(_usual(lines, by, side), by, "left")
+    known = lines.join(stored(usual, "usual"), by, "left")
+    for side, order in (("after", F.desc("line")), ("before", F.asc("line"))):
+        own, most = F.col(side), F.col(f"usual_{side}")
+        ends = own.isNotNull() & ~own.eqNullSafe(most)
+        stop = F.when(ends, F.struct("line", own.alias("side"), most.isNotNull().alias("odd")))
+        onwards = Window.partitionBy("key").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        known = known.withColumn("stop", F.last(stop, ignorenulls=True).over(onwards))
+        within = F.col("stop.odd") & (F.col("stop.line") != F.col("line"))
+        known = known.withColumn(f"outer_{side}", F.when(~within, F.col("stop.side"))).drop("stop")
+    outer = known.filter("often")
+    return outer.select("key", by, F.col("outer_before").alias("before"), F.col("outer_after").alias("after"))
+
+
+def _main(places: DataFrame, by: str, side: str) -> DataFrame:
+    """The most frequent neighbour of the blocks on one side, and whether more than half have it."""
+    held = places.groupBy(by, side).agg(F.sum("held").alias("n"))
+    most = held.groupBy(by).agg(F.sum("n").alias("all"), F.max(F.struct("n", side)).alias("top"))
+    return most.select(by, F.col(f"top.{side}").alias(f"main_{side}"), (F.col("top.n") * 2 > F.col("all")).alias(f"most_{side}"))
+
+
 def _recurring(lines: DataFrame, by: str, min_docs: int) -> DataFrame:
     """Values of `by` that stand in at least `min_docs` documents and independent places.
 
-    A place is a pair of neighbours. It is independent if it is the most frequent one both with its
-    line before and with its line after: near copies of a document, some neighbours of which were
-    edited, so make one independent place. There must be one to every 1 / SPREAD documents.
+    A place is the pair of neighbours of the whole block that a line stands in (see `_around`). Where
+    one side is mostly the same, as at a header or footer, the other side alone makes the place. A
+    place is independent if it is the most frequent one both with its neighbour before and with its
+    neighbour after: near copies of a document, edited on one side, so make one place. Where both
+    sides are mostly the same, the copies edited on both sides are estimated from those edited on
+    one, and places count beyond EDITS times as many.
     """
-    often = _in_documents(lines, by, min_docs)
-    places = lines.join(often, by).groupBy(by, "before", "after", "docs").agg(F.countDistinct("key").alias("held"))
+    often = stored(_in_documents(lines, by, min_docs), "recurring")
+    around = _around(lines, often, by)
+    places = stored(around.groupBy(by, "before", "after").agg(F.countDistinct("key").alias("held")), "places")
+    sides = places.join(_main(places, by, "before"), by).join(_main(places, by, "after"), by)
+    plain = {
+        side: F.col(side).isNull() | (F.col(f"most_{side}") & F.col(side).eqNullSafe(F.col(f"main_{side}")))
+        for side in ("before", "after")
+    }
+    both = F.col("most_before") & F.col("most_after")
+    sides = sides.select(
+        by,
+        "held",
+        F.when(plain["before"] & ~F.col("most_after"), F.xxhash64(F.lit("first"), "after")).otherwise(F.col("before")).alias("before"),
+        F.when(plain["after"] & ~F.col("most_before"), F.xxhash64(F.lit("last"), "before")).otherwise(F.col("after")).alias("after"),
+        F.when(both, plain["before"].cast("int") + 2 * plain["after"].cast("int")).alias("cell"),
+    )
+    merged = sides.groupBy(by, "before", "after").agg(F.sum("held").alias("held"), F.max("cell").alias("cell"))
     best_before = F.max(F.struct("held", "after")).over(Window.partitionBy(by, "before"))
     best_after = F.max(F.struct("held", "before")).over(Window.partitionBy(by, "after"))
-    independent = places.withColumns({"b": best_before, "a": best_after}).filter(
-        (F.col("b.after") == F.col("after")) & (F.col("a.before") == F.col("before"))
-    )
-    counted = independent.groupBy(by, "docs").agg(F.count("*").alias("places"))
-    return counted.filter((F.col("places") >= min_docs) & (F.col("places") >= SPREAD * F.col("docs")))
+    independent = F.col("b.after").eqNullSafe(F.col("after")) & F.col("a.before").eqNullSafe(F.col("before"))
+    cells = [F.sum(F.when(F.col("cell") == k, F.col("held")).otherwise(0)).alias(f"cell{k}") for k in (1, 2, 3)]
+    counted = (
+        merged.withColumns({"b": best_before, "a": best_after}).groupBy(by)
+        .agg(F.sum(independent.cast("int")).alias("places"), *cells)
+    )
+    chance = F.col("cell1") * F.col("cell2") / F.greatest("cell3", F.lit(1))
+    return counted.filter(F.col("places") >= min_docs + EDITS * chance)
 
 
 def _tokens(docs: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
@@ -181,8 +243,8 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """The documents without lines of recurring templates, with n_lines and n_dropped added.
 
-    A template recurs if lines with it stand in at least `min_docs` documents and as many independent
-    places (see `_recurring`). Whole documents that are copies, exact or near, have the same lines
+    A template recurs if lines with it, alone or in a block of lines that recur together, stand in at
+    least `min_docs` documents and as many independent places (see `_recurring`). Whole documents that are copies, exact or near, have the same lines
     around it everywhere; their lines stay, for they are no boilerplate but a matter of document
     dedup. Lines with fewer than `min_tokens` tokens, or of which more than half
     are variable, have no template.
@@ -194,7 +256,8 @@ def drop_recurring_lines(
     """
     lines = stored(_lines(docs, depth, min_tokens), "template-index")
     own = templates(docs, lines, depth, similarity, rounds, min_docs)
-    named = lines.join(own, "kind", "left").withColumn("template", F.coalesce("template", "kind"))
+    template = F.coalesce("template", "kind").alias("template")
+    named = stored(lines.join(own, "kind", "left").select("key", "line", template, "before", "after"), "named-lines")
     recurring = _recurring(named, "template", min_docs).select("template")
     dropped = (
         named.join(recurring, "template", "left_semi").groupBy(F.col("key").alias("__drop_key"))

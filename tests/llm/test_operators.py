@@ -211,6 +211,33 @@ def test_recurring_templates_are_dropped(docs):
     assert line_templates.drop_recurring_lines(docs([]).limit(0)).count() == 0
 
 
+def test_recurring_blocks_are_dropped(docs):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    prose = lambda k: " ".join(words(1000 + k, 12, 10**6)).translate(letters)
+    blocks = {
+        "short": ["The whole notice ends with this word", "Les."],
+        "two": ["This is the first line of two", "And here the second one follows it"],
+        "three": ["Alpha line of a block with three", "Beta line in the middle of it", "Gamma line that closes the whole block"],
+        "foot": ["Printed by the office in this town", "All rights of the office are reserved", "Do not copy any of these pages"],
+        "head": ["Welcome to the pages of this office", "Please read them all with some care"],
+    }
+    given, want = [], {}
+    for n, (name, block) in enumerate(blocks.items()):
+        for k in range(12):
+            own = [prose(10_000 * n + 4 * k + j) for j in range(4)]
+            low, high = {"foot": (4, 4), "head": (0, 0)}.get(name, (2, 2))
+            given.append((100 * n + k, "\n".join(own[:low] + block + own[high:])))
+            want[100 * n + k] = "\n".join(own[:low] + block[len(block) - (name == "short") :] + own[high:])
+    copy = [prose(90_000 + k) for k in range(9)]
+    for k in range(40):
+        edited = list(copy)
+        edited[k % 9] = prose(91_000 + k)
+        given.append((1000 + k, "\n".join(edited)))
+        want[1000 + k] = given[-1][1]
+    got = {x["doc_id"]: x["text"] for x in line_templates.drop_recurring_lines(docs(given)).collect()}
+    assert got == want
+
+
 def test_shards_are_whole_and_even(spark, docs):
     given = [*ODD[:4], *((1000 + k, "x" * (k % 50)) for k in range(3000)), *((9000 + k, "same text") for k in range(3000))]
     got = histogram_sort.shard_by_bytes(docs(given), shards=7, ranges=3).collect()
