@@ -24,8 +24,6 @@ VARIABLE = b"<*>"
 DEPTH = 3
 #: Share of a line's tokens that must be constants of a template for the line to have it.
 SIMILARITY = 0.7
-#: A leaf gives up to so many generalised templates, each from the lines that the ones before leave over.
-TEMPLATES = 2
 MIN_DOCS, MIN_TOKENS = 3, 4
 #: Places beside the main one of copies count beyond so many times what edits on both sides make by chance.
 EDITS = 2
@@ -205,31 +203,42 @@ def _tokens(docs: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
     return found.dropDuplicates(["kind"])
 
 
-def templates(docs: DataFrame, lines: DataFrame, depth: int, similarity: float, rounds: int, min_docs: int) -> DataFrame:
+def templates(docs: DataFrame, lines: DataFrame, depth: int, similarity: float, min_docs: int) -> DataFrame:
     """kind, template of the lines that a generalised template takes; all other lines are their own template.
 
-    In each round the constants of a leaf are the tokens that more than half of its remaining documents
-    and lines have at a position, a line counting once for each document that holds it.
+    The constants of a group of lines, at first a leaf, are the tokens that more than half of its
+    documents and lines have at a position, a line counting once for each document that holds it. A
+    group that gave a template is tried again with the lines left over. One that gave none is split:
+    each line goes with the most frequent token, at its position, that it shares with only a part of the
+    group. This ends when no group is left; lines go that share no further token with `min_docs` documents.
     """
     leaves = _in_documents(lines, "leaf", min_docs).join(
         lines.groupBy("leaf").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).filter("low <> high"), "leaf"
     )
     weights = lines.groupBy("kind", "key").agg(F.lit(1).alias("one")).groupBy("kind").agg(F.sum("one").alias("weight"))
-    left = stored(_tokens(docs, leaves.select("leaf"), depth).join(weights, "kind"), "template-lines")
-    taken = None
-    for k in range(rounds):
-        totals = left.groupBy("leaf").agg(F.sum("weight").alias("total"))
-        cells = left.select("leaf", "kind", "weight", F.posexplode("tokens").alias("at", "token"))
-        constants = (
-            cells.groupBy("leaf", "at", "token").agg(F.sum("weight").alias("held"))
-            .join(totals, "leaf").filter(F.col("held") * 2 > F.col("total"))
+    first = _tokens(docs, leaves.select("leaf"), depth).join(weights, "kind")
+    left = stored(first.select(F.col("leaf").alias("group"), "kind", "weight", "tokens"), "template-lines")
+    taken, k = None, 0
+    while taken is None or not left.isEmpty():
+        totals = left.groupBy("group").agg(F.sum("weight").alias("total")).filter(F.col("total") >= min_docs)
+        cells = left.select("group", "kind", "weight", F.size("tokens").alias("length"), F.posexplode("tokens").alias("at", "token"))
+        constant = F.col("held") * 2 > F.col("total")
+        held = (
+            cells.groupBy("group", "at", "token").agg(F.sum("weight").alias("held"))
+            .filter(F.col("held") > 1).join(totals, "group").filter(constant | (F.col("held") >= min_docs))
         )
-        agreed = cells.join(constants.select("leaf", "at", "token"), ["leaf", "at", "token"]).groupBy("kind").count()
-        matched = left.join(agreed, "kind").filter(F.col("count") >= similarity * F.size("tokens"))
-        own = stored(matched.select("kind", F.xxhash64("leaf", F.lit(k)).alias("template")), "templates")
+        shared = F.when((F.col("held") < F.col("total")) & (F.col("held") >= min_docs), F.struct("held", "at", "token"))
+        seen = cells.drop("weight").join(held, ["group", "at", "token"]).groupBy("group", "kind").agg(
+            (F.sum(constant.cast("int")) >= similarity * F.max("length")).alias("matched"), F.max(shared).alias("next")
+        )
+        seen = stored(seen, "templates")
+        own = seen.filter("matched").select("kind", F.xxhash64("group", F.lit(k)).alias("template"))
         taken = own if taken is None else taken.unionByName(own)
-        if k + 1 < rounds:
-            left = stored(left.join(own, "kind", "left_anti"), "template-lines")
+        gave = seen.groupBy("group").agg(F.max("matched").alias("gave"))
+        part = F.when(F.col("gave"), F.col("group")).otherwise(F.xxhash64("group", "next.at", "next.token"))
+        rest = seen.filter("NOT matched").join(gave, "group").filter("gave OR next IS NOT NULL").select("kind", part.alias("group"))
+        left = stored(left.drop("group").join(rest, "kind").select("group", "kind", "weight", "tokens"), "template-lines")
+        k += 1
     return taken
 
 
@@ -239,7 +248,6 @@ def drop_recurring_lines(
     min_tokens: int = MIN_TOKENS,
     depth: int = DEPTH,
     similarity: float = SIMILARITY,
-    rounds: int = TEMPLATES,
 ) -> DataFrame:
     """The documents without lines of recurring templates, with n_lines and n_dropped added.
 
@@ -255,7 +263,7 @@ def drop_recurring_lines(
     of any length are read whole; an empty table gives an empty one.
     """
     lines = stored(_lines(docs, depth, min_tokens), "template-index")
-    own = templates(docs, lines, depth, similarity, rounds, min_docs)
+    own = templates(docs, lines, depth, similarity, min_docs)
     template = F.coalesce("template", "kind").alias("template")
     named = stored(lines.join(own, "kind", "left").select("key", "line", template, "before", "after"), "named-lines")
     recurring = _recurring(named, "template", min_docs).select("template")

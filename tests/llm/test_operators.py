@@ -238,6 +238,25 @@ def test_recurring_blocks_are_dropped(docs):
     assert got == want
 
 
+def test_busy_leaves_give_every_template(docs):
+    letters = str.maketrans("0123456789", "abcdefghij")
+    word = lambda k: f"w{k}x".translate(letters)
+    forms = [
+        ("this is the page that {} wrote for our readers", 8), ("this is the place where {} keeps all old letters", 8),
+        ("this is the list of things {} may not sell", 8), ("this is the town in which {} was seen twice", 4),
+    ]
+    given, want = [], {}
+    for n, (form, docs_with) in enumerate([*forms, ("this is the {} {} {} {} {} {} {}", 30)]):
+        for k in range(docs_with):
+            at = 10_000 * n + 100 * k
+            line = form.format(*(word(at + j) for j in range(7)))
+            own = [" ".join(word(at + 10 * j + i) for i in range(10)) for j in (2, 3)]
+            given.append((100 * n + k, "\n".join([own[0], line, own[1]])))
+            want[100 * n + k] = "\n".join(own if n < len(forms) else [own[0], line, own[1]])
+    got = {x["doc_id"]: x["text"] for x in line_templates.drop_recurring_lines(docs(given)).collect()}
+    assert got == want
+
+
 def test_shards_are_whole_and_even(spark, docs):
     given = [*ODD[:4], *((1000 + k, "x" * (k % 50)) for k in range(3000)), *((9000 + k, "same text") for k in range(3000))]
     got = histogram_sort.shard_by_bytes(docs(given), shards=7, ranges=3).collect()
