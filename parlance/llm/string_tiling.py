@@ -78,28 +78,32 @@ def tile(doc: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]], seed: i
 
 @dataclass
 class Index:
-    """Words, seeds and word numbers of a block of test items."""
+    """Words, seeds and word numbers of a block of test items; `names` has the item_id of each text."""
 
     seed: int
     numbers: dict[bytes, int]
-    items: dict[int, np.ndarray]
+    names: list[int]
+    items: list[np.ndarray]
     hashes: np.ndarray
     places: dict[int, list[tuple[int, int]]]
 
     @staticmethod
     def of(items: list[tuple[int, str]], seed: int) -> Index:
         numbers: dict[bytes, int] = {}
-        coded = {}
+        coded = []
         places: dict[int, list[tuple[int, int]]] = {}
-        for item, text in items:
+        for item, (_, text) in enumerate(items):
             ids = np.array([numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)], np.int64)
-            coded[item] = ids
+            coded.append(ids)
             for at, key in enumerate(rolling(ids, seed).tolist()):
                 places.setdefault(key, []).append((item, at))
-        return Index(seed, numbers, coded, np.array(sorted(places), np.uint64), places)
+        return Index(seed, numbers, [name for name, _ in items], coded, np.array(sorted(places), np.uint64), places)
 
     def matches(self, text: str | None) -> list[tuple[int, float, int, int]]:
-        """item, coverage, number of tiles and words of the longest, of every item that shares a seed."""
+        """item_id, coverage, number of tiles and words of the longest, of every item that shares a seed.
+
+        Of several texts of one item_id, the one with the best coverage is given.
+        """
         words = words_of(text)
         if len(words) < self.seed or not len(self.hashes):
             return []
@@ -116,21 +120,26 @@ class Index:
             for item, j in self.places[key]:
                 if (ids[i : i + self.seed] == self.items[item][j : j + self.seed]).all():
                     pairs.setdefault(item, []).append((i, j))
-        out = []
+        best: dict[int, tuple[int, float, int, int]] = {}
         for item, hits in sorted(pairs.items()):
             tiles = tile(ids, self.items[item], hits, self.seed)
             words_under = sum(t[2] for t in tiles)
-            out.append((item, words_under / len(self.items[item]), len(tiles), tiles[0][2]))
-        return out
+            name, share = self.names[item], words_under / len(self.items[item])
+            if name not in best or share > best[name][1]:
+                best[name] = name, share, len(tiles), tiles[0][2]
+        return list(best.values())
 
 
 def indexes(benchmark: DataFrame, seed: int = SEED_WORDS) -> Iterator[Index]:
-    """The benchmark (item_id, text) in blocks of bounded size; items with fewer words than a seed are left out."""
+    """The benchmark (item_id, text) in blocks of about BLOCK_WORDS words, all texts of one item_id in one.
+
+    Items with fewer words than a seed are left out.
+    """
     items = texts(benchmark.withColumnRenamed("item_id", "doc_id")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = 1 + words // BLOCK_WORDS
     for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)) == k)
+        block = items.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k)
         yield Index.of([(r["doc_id"], r["text"]) for r in block.sort("doc_id", "text").collect()], seed)
 
 
@@ -139,8 +148,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
     A pair is given if tiles of at least `seed` words cover `coverage` or more of the item's words.
     Words are lower-cased and stripped of ASCII punctuation. Null texts have no words; items with a
-    null item_id or fewer words than a seed cannot be found; of items with one item_id the last text
-    counts. Repeated documents give their pairs again. Texts of any length are searched whole; empty
+    null item_id or fewer words than a seed cannot be found; of several texts of one item_id the
+    best covered one counts. Repeated documents give their pairs again. Texts of any length are searched whole; empty
     tables give an empty one; other columns are not read. However large the benchmark, it is
     searched in blocks of BLOCK_WORDS words, one pass over the documents each.
     """

@@ -80,6 +80,13 @@ def test_tiling_finds_reordered_passages(spark, docs):
     assert string_tiling.find_leaks(docs(given), bench.limit(0)).count() == 0
 
 
+def test_all_texts_of_one_item_are_searched(spark, docs):
+    long, short, part = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 30), ("z", 8), ("q", 20)))
+    bench = spark.createDataFrame([(7, long), (7, short), (8, part), (8, part + " " + long)], "item_id long, text string")
+    got = string_tiling.find_leaks(docs([(1, long), (2, short), (3, "x " + part)]), bench)
+    assert sorted(rows(got, "doc_id", "item_id", "coverage")) == [(1, 7, 1.0), (1, 8, 0.6), (2, 7, 1.0), (3, 8, 1.0)]
+
+
 def test_tiles_are_greedy_and_apart():
     r = random.Random(5)
     for _ in range(50):
