@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import Registry
 from parlance import fixtures as fx
 from parlance.functions import cells as fc
+from parlance.operators import edits, rectangles
 from parlance.operators import grids as op
 from parlance.operators.ordered import cap_per_group
 from parlance.sources import delimited
@@ -338,3 +339,139 @@ def _sniff(spark, sf_dir):
     )
     sniffed = rows.withColumn("s", delimited.sniff_delimited(F.col("content")))
     return sniffed.select("doc_id", "s.encoding", "s.error")
+
+
+# A log from `events`: several hundred edits a sheet at the smallest scale, of some sheets that have no cells yet.
+_LOG = (
+    "concat('book', event_id % 4) AS path", "substr('OFN', 1 + cast(user_id % 3 AS int), 1) AS sheet", "event_id AS seq",
+    """CASE WHEN event_id % 8 = 0 THEN 'insert_rows' WHEN event_id % 8 = 1 THEN 'delete_rows' WHEN event_id % 50 = 2 THEN 'insert_columns'
+      WHEN event_id % 75 = 3 THEN 'delete_columns' WHEN event_id % 8 = 4 THEN 'clear' ELSE 'write' END AS op""",
+    "cast(1 + event_id * 7919 % 16000 AS int) AS row", "cast(1 + user_id % 6 AS int) AS col",
+    "cast(1 + event_id * 7919 % 16000 + user_id % 40 AS int) AS end_row", "cast(2 + user_id % 6 AS int) AS end_col",
+    "CASE WHEN event_id % 3 > 0 THEN concat('v', event_id) END AS value", "CASE WHEN event_id % 6 IN (0, 5) THEN concat('=', event_id) END AS formula",
+    "cast(CASE WHEN event_id % 8 < 2 THEN 1 + event_id * 104729 % 16000 ELSE 1 + event_id % 9 END AS int) AS index",
+    "cast(CASE WHEN event_id % 8 < 2 THEN 1 + event_id % 4 END AS int) AS amount",
+)
+
+
+def edit_log(spark, sf_dir):
+    return fx.table(spark, sf_dir, "events").selectExpr(*_LOG)
+
+
+# Every coordinate walks through the later shifts of its sheet, one at a time.
+@REG.add(
+    "apply_edits",
+    f"""WITH RECURSIVE {fx.CELLS_SQL}, log AS (SELECT {', '.join(p.replace('AS index', 'AS "index"') for p in _LOG)} FROM events),
+    steps AS (SELECT path, sheet, CASE WHEN op LIKE '%rows' THEN 'row' ELSE 'col' END AS axis, seq, op LIKE 'delete%' AS gone, "index" AS i,
+        coalesce(amount, 1) AS k, row_number() OVER (PARTITION BY path, sheet, op LIKE '%rows' ORDER BY seq) AS n FROM log WHERE op NOT IN ('write', 'clear')),
+    begun AS (SELECT path, sheet, 'row' AS axis, row AS x, -1 AS seq, 'up' AS side FROM cells UNION SELECT path, sheet, 'col', col, -1, 'up' FROM cells
+      UNION SELECT path, sheet, 'row', row, seq, 'up' FROM log WHERE op IN ('write', 'clear') UNION SELECT path, sheet, 'col', col, seq, 'up' FROM log WHERE op IN ('write', 'clear')
+      UNION SELECT path, sheet, 'row', end_row, seq, 'down' FROM log WHERE op = 'clear' UNION SELECT path, sheet, 'col', end_col, seq, 'down' FROM log WHERE op = 'clear'),
+    walk AS (SELECT b.path, b.sheet, b.axis, b.x AS x0, b.seq, side, b.x, true AS alive,
+        (SELECT count(*) FROM steps s WHERE s.path = b.path AND s.sheet = b.sheet AND s.axis = b.axis AND s.seq < b.seq) AS n FROM begun b
+      UNION ALL SELECT w.path, w.sheet, w.axis, x0, w.seq, side, CASE WHEN x < i THEN x WHEN NOT gone THEN x + k WHEN x >= i + k THEN x - k
+          WHEN side = 'up' THEN i ELSE i - 1 END, alive AND NOT (gone AND x BETWEEN i AND i + k - 1), w.n + 1
+        FROM walk w JOIN steps s ON s.path = w.path AND s.sheet = w.sheet AND s.axis = w.axis AND s.n = w.n + 1),
+    ended AS (SELECT * FROM walk w QUALIFY n = max(n) OVER (PARTITION BY path, sheet, axis, x0, seq, side)),
+    born AS (SELECT path, sheet, row, col, -1 AS seq, value, formula, cached_value FROM cells
+      UNION ALL SELECT path, sheet, row, col, seq, value, formula, NULL FROM log WHERE op = 'write' AND (value IS NULL OR formula IS NULL)),
+    placed AS (SELECT b.path, b.sheet, r.x AS row, c.x AS col, b.seq, value, formula, cached_value FROM born b
+      JOIN ended r ON r.path = b.path AND r.sheet = b.sheet AND r.axis = 'row' AND r.x0 = b.row AND r.seq = b.seq AND r.side = 'up' AND r.alive
+      JOIN ended c ON c.path = b.path AND c.sheet = b.sheet AND c.axis = 'col' AND c.x0 = b.col AND c.seq = b.seq AND c.side = 'up' AND c.alive
+      QUALIFY row_number() OVER (PARTITION BY b.path, b.sheet, r.x, c.x ORDER BY b.seq DESC) = 1),
+    clears AS (SELECT l.path, l.sheet, l.seq, a.x AS r1, b.x AS c1, c.x AS r2, d.x AS c2 FROM log l
+      JOIN ended a ON a.path = l.path AND a.sheet = l.sheet AND a.seq = l.seq AND a.axis = 'row' AND a.side = 'up'
+      JOIN ended b ON b.path = l.path AND b.sheet = l.sheet AND b.seq = l.seq AND b.axis = 'col' AND b.side = 'up'
+      JOIN ended c ON c.path = l.path AND c.sheet = l.sheet AND c.seq = l.seq AND c.axis = 'row' AND c.side = 'down'
+      JOIN ended d ON d.path = l.path AND d.sheet = l.sheet AND d.seq = l.seq AND d.axis = 'col' AND d.side = 'down' WHERE l.op = 'clear')
+    SELECT path, sheet, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, CASE WHEN NOT hit THEN value END AS value,
+      CASE WHEN NOT hit THEN formula END AS formula, CASE WHEN NOT hit THEN cached_value END AS cached_value
+    FROM (SELECT p.*, EXISTS (SELECT 1 FROM clears e WHERE e.path = p.path AND e.sheet = p.sheet AND e.seq > p.seq AND p.row BETWEEN r1 AND r2
+      AND p.col BETWEEN c1 AND c2) AS hit FROM placed p)""",
+)
+def _apply_edits(spark, sf_dir):
+    return edits.apply_edits(fx.cells(spark, sf_dir), edit_log(spark, sf_dir))[0]
+
+
+@REG.add(
+    "edit_errors",
+    f"""WITH log AS (SELECT {', '.join(p.replace('AS index', 'AS "index"') for p in _LOG)} FROM events)
+    SELECT path, sheet, seq, 'value_and_formula' AS error FROM log WHERE op = 'write' AND value IS NOT NULL AND formula IS NOT NULL""",
+)
+def _edit_errors(spark, sf_dir):
+    return edits.edit_errors(edit_log(spark, sf_dir)).select("path", "sheet", "seq", "error")
+
+
+# Overlapping ranges from `lineitem`: single cells, blocks of rows, whole columns.
+_RANGES = (
+    "concat('book', l_suppkey % 20) AS path", "CASE l_partkey % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'F' ELSE 'P' END AS sheet",
+    """concat(substr('ABCDE', 1 + cast(l_partkey % 5 AS int), 1), CASE WHEN l_linenumber = 7 AND l_partkey % 40 = 0 THEN 1 ELSE 1 + l_orderkey END,
+      CASE l_linenumber WHEN 1 THEN '' WHEN CASE WHEN l_partkey % 40 = 0 THEN 7 END THEN concat(':', substr('BCDEF', 1 + cast(l_partkey % 5 AS int), 1), '1048576')
+        ELSE concat(':$', substr('ABCDE', 1 + cast(l_suppkey % 5 AS int), 1), 1 + l_orderkey + l_partkey % 50) END) AS range""",
+    "concat('r', l_orderkey, '/', l_linenumber, '/', l_partkey, '/', l_suppkey) AS rule",
+)
+_BOXES_SQL = f"""{fx.CELLS_SQL}, ranges AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {', '.join(_RANGES)} FROM lineitem),
+  cut AS (SELECT *, regexp_extract(replace(range, '$', ''), '^([A-F])([0-9]+)(:([A-F])([0-9]+))?$', ['c', 'r', 'p', 'd', 's']) AS x FROM ranges),
+  ends AS (SELECT *, ascii(x.c) - 64 AS c1, TRY_CAST(x.r AS BIGINT) AS r1, CASE WHEN x.p = '' THEN ascii(x.c) - 64 ELSE ascii(x.d) - 64 END AS c2,
+    CASE WHEN x.p = '' THEN TRY_CAST(x.r AS BIGINT) ELSE TRY_CAST(x.s AS BIGINT) END AS r2 FROM cut),
+  boxes AS (SELECT * REPLACE (least(c1, c2) AS c1, greatest(c1, c2) AS c2, least(r1, r2) AS r1, greatest(r1, r2) AS r2) FROM ends)"""
+_MET_SQL = "c.path = b.path AND c.sheet = b.sheet AND c.row BETWEEN r1 AND r2 AND c.col BETWEEN c1 AND c2"
+_SHOWN_SQL = "CASE WHEN formula IS NOT NULL THEN cached_value ELSE value END"
+
+
+def range_rules(spark, sf_dir, *more):
+    return fx.table(spark, sf_dir, "lineitem").selectExpr(*_RANGES, *more)
+
+
+@REG.add(
+    "clear_ranges",
+    f"""WITH {_BOXES_SQL} SELECT path, sheet, row, col, CASE WHEN NOT hit THEN value END AS value, CASE WHEN NOT hit THEN formula END AS formula,
+      CASE WHEN NOT hit THEN cached_value END AS cached_value
+    FROM (SELECT c.*, EXISTS (SELECT 1 FROM boxes b WHERE l_linenumber < 7 AND l_suppkey % 4 = 0 AND {_MET_SQL}) AS hit FROM cells c)""",
+)
+def _clear_ranges(spark, sf_dir):
+    lines = range_rules(spark, sf_dir, "l_linenumber", "l_suppkey").filter("l_linenumber < 7 AND l_suppkey % 4 = 0")
+    return rectangles.clear_ranges(fx.cells(spark, sf_dir), lines)
+
+
+_KIND = "CASE l_linenumber % 3 WHEN 0 THEN 'whole' WHEN 1 THEN 'textLength' ELSE 'list' END"
+
+
+@REG.add(
+    "range_violations",
+    f"""WITH {_BOXES_SQL}, met AS (SELECT c.path, c.sheet, row, col, rule, l_partkey, l_linenumber, coalesce({_SHOWN_SQL}, '') AS t
+      FROM cells c JOIN boxes b ON {_MET_SQL})
+    SELECT path, sheet, row, col, rule, t AS value FROM met WHERE CASE WHEN trim(t) = '' THEN l_partkey % 2 = 1
+      WHEN l_linenumber % 3 = 0 THEN NOT coalesce(CASE WHEN TRY_CAST(t AS DOUBLE) = floor(TRY_CAST(t AS DOUBLE)) THEN TRY_CAST(t AS DOUBLE) END BETWEEN 20 AND l_partkey, false)
+      WHEN l_linenumber % 3 = 1 THEN NOT length(t) < 5 ELSE t NOT IN ('42', '1-URGENT') END""",
+)
+def _range_violations(spark, sf_dir):
+    rules = range_rules(
+        spark, sf_dir, f"{_KIND} AS kind", "CASE WHEN l_linenumber % 3 = 1 THEN 'lessThan' END AS operator",
+        "CASE WHEN l_linenumber % 3 = 1 THEN '5' ELSE '20' END AS low", "cast(l_partkey AS string) AS high",
+        "array('42', '1-URGENT') AS choices", "l_partkey % 2 = 0 AS allow_blank",
+    )
+    return rectangles.range_violations(fx.cells(spark, sf_dir), rules)
+
+
+@REG.add(
+    "range_flags",
+    f"""WITH {_BOXES_SQL} SELECT c.path, c.sheet, row, col, rule FROM cells c JOIN boxes b ON {_MET_SQL}
+    WHERE TRY_CAST({_SHOWN_SQL} AS DOUBLE) > 40 AND TRY_CAST({_SHOWN_SQL} AS DOUBLE) > l_partkey""",
+)
+def _range_flags(spark, sf_dir):
+    rules = range_rules(spark, sf_dir, "'greaterThan' AS operator", "greatest(40, l_partkey) AS low", "NULL AS high")
+    return rectangles.range_flags(fx.cells(spark, sf_dir), rules)
+
+
+@REG.add(
+    "range_scales",
+    f"""WITH {_BOXES_SQL}, met AS (SELECT c.path, c.sheet, row, col, rule, TRY_CAST({_SHOWN_SQL} AS DOUBLE) AS v FROM cells c JOIN boxes b ON {_MET_SQL}
+      WHERE TRY_CAST({_SHOWN_SQL} AS DOUBLE) IS NOT NULL),
+    s AS (SELECT path, sheet, rule, min(v) AS lo, quantile_cont(v, 0.5) AS mid, max(v) AS hi FROM met GROUP BY 1, 2, 3)
+    SELECT path, sheet, row, col, rule, round(CASE WHEN hi = lo THEN 0.0 WHEN v <= mid THEN CASE WHEN mid > lo THEN (v - lo) / (mid - lo) * 0.5 ELSE 0.5 END
+      WHEN hi > mid THEN 0.5 + (v - mid) / (hi - mid) * 0.5 ELSE 0.5 END, 6) AS position FROM met JOIN s USING (path, sheet, rule)""",
+)
+def _range_scales(spark, sf_dir):
+    scales = rectangles.range_scales(fx.cells(spark, sf_dir), range_rules(spark, sf_dir))
+    return scales.withColumn("position", F.round("position", 6))
