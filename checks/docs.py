@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import Registry
 from parlance import fixtures as fx
 from parlance.functions import pages as pg
+from parlance.operators import batches
 from parlance.operators import pages as op
 from parlance.plans.page_text import page_text
 
@@ -113,33 +114,37 @@ def _best(spark, sf_dir):
     )
 
 
+# Each step of the walk reads a page, a piece of one, or closes a batch.
 _BUDGET, _PAGES = 1500, 6
 _BATCH_SQL = f"""{BEST_SQL},
-lens AS (SELECT doc_id, page, engine, status, text, status = 'good' AS usable, length(text) AS n,
-    CASE WHEN status = 'good' THEN length(text) ELSE 0 END AS rest, max(page) OVER (PARTITION BY doc_id) AS pages FROM best),
-walk AS (SELECT *, CAST(coalesce(sum(rest) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used
-  FROM lens WHERE page <= {_PAGES}),
-marked AS (SELECT *, usable AND ({_BUDGET} - used <= 0 OR rest > {_BUDGET} - used) AS over,
-    {_BUDGET} - used <= 0 OR (used > 0 AND {_BUDGET} - used < least(500, rest)) AS tight FROM walk),
-cut AS (SELECT *, min(page) FILTER (over) OVER (PARTITION BY doc_id) AS stop FROM marked),
-kept AS (SELECT *, CASE WHEN over THEN CASE WHEN tight THEN 0 ELSE {_BUDGET} - used END ELSE rest END AS taken
-  FROM cut WHERE stop IS NULL OR page <= stop),
-batch AS (SELECT doc_id, page, CASE WHEN usable THEN left(text, taken) ELSE '' END AS text, n AS char_count,
-    0 AS offset_start, taken AS offset_end, NOT over AS complete, usable AS usable_for_summary,
-    status AS text_quality_status, engine AS extractor,
-    coalesce(stop, CASE WHEN pages > {_PAGES} THEN {_PAGES} + 1 END) AS next_page,
-    coalesce(max(CASE WHEN over THEN taken END) OVER (PARTITION BY doc_id), 0) AS next_offset, over AND tight AS skipped FROM kept)"""
+lens AS (SELECT doc_id, page, engine, status, text, status = 'good' AS usable, length(text) AS n FROM best),
+walk AS (SELECT doc_id, 1 AS page, 0 AS cut_at, 0 AS batch, 0 AS used, 1 AS begun FROM lens WHERE page = 1 UNION ALL
+  SELECT doc_id, CASE WHEN act IN ('empty', 'whole') THEN page + 1 ELSE page END,
+    CASE act WHEN 'cut' THEN cut_at + {_BUDGET} - used WHEN 'empty' THEN 0 WHEN 'whole' THEN 0 ELSE cut_at END, CASE WHEN act IN ('empty', 'whole') THEN batch ELSE batch + 1 END,
+    CASE act WHEN 'empty' THEN used WHEN 'whole' THEN used + n - cut_at ELSE 0 END, CASE WHEN act IN ('empty', 'whole') THEN begun ELSE page END
+  FROM (SELECT w.*, l.n, CASE WHEN w.page >= begun + {_PAGES} THEN 'window' WHEN NOT usable THEN 'empty'
+      WHEN {_BUDGET} - used > 0 AND n - cut_at <= {_BUDGET} - used THEN 'whole'
+      WHEN {_BUDGET} - used > 0 AND (used = 0 OR {_BUDGET} - used >= least(500, n - cut_at)) THEN 'cut' ELSE 'skip' END AS act
+    FROM walk w JOIN lens l ON l.doc_id = w.doc_id AND l.page = w.page)),
+acts AS (SELECT w.*, l.n, usable, text, status, engine, CASE WHEN w.page >= begun + {_PAGES} THEN 'window' WHEN NOT usable THEN 'empty'
+      WHEN {_BUDGET} - used > 0 AND n - cut_at <= {_BUDGET} - used THEN 'whole'
+      WHEN {_BUDGET} - used > 0 AND (used = 0 OR {_BUDGET} - used >= least(500, n - cut_at)) THEN 'cut' ELSE 'skip' END AS act
+    FROM walk w JOIN lens l ON l.doc_id = w.doc_id AND l.page = w.page),
+starts AS (SELECT doc_id, batch, page, cut_at FROM acts WHERE act IN ('empty', 'whole', 'cut') AND page = begun)"""
 
 
 @REG.add(
     "page_by_chars",
-    f"""WITH {_BATCH_SQL} SELECT doc_id, page, text, CAST(char_count AS INTEGER) AS char_count, offset_start,
-      CAST(offset_end AS BIGINT) AS offset_end, complete, usable_for_summary, text_quality_status, extractor,
-      coalesce(next_page, -1) AS next_page, CAST(next_offset AS INTEGER) AS next_offset FROM batch WHERE NOT skipped""",
+    f"""WITH RECURSIVE {_BATCH_SQL} SELECT a.doc_id, CAST(a.batch AS BIGINT) AS batch, a.page,
+      CASE act WHEN 'whole' THEN substr(text, a.cut_at + 1) WHEN 'cut' THEN substr(text, a.cut_at + 1, {_BUDGET} - used) ELSE '' END AS text,
+      CAST(n AS INTEGER) AS char_count, CASE WHEN usable THEN a.cut_at ELSE 0 END AS offset_start,
+      CAST(CASE act WHEN 'whole' THEN n WHEN 'cut' THEN a.cut_at + {_BUDGET} - used ELSE 0 END AS INTEGER) AS offset_end, act <> 'cut' AS complete,
+      usable AS usable_for_summary, status AS text_quality_status, engine AS extractor, coalesce(s.page, -1) AS next_page, coalesce(s.cut_at, 0) AS next_offset
+    FROM acts a LEFT JOIN starts s ON s.doc_id = a.doc_id AND s.batch = a.batch + 1 WHERE act IN ('empty', 'whole', 'cut')""",
 )
 def _by_chars(spark, sf_dir):
     rows = page_text(fx.page_candidates(spark, sf_dir), _BUDGET, _PAGES)
-    return rows.withColumn("next_page", F.coalesce("next_page", F.lit(-1))).drop("error")
+    return rows.withColumn("next_page", F.coalesce("next_page", F.lit(-1)))
 
 
 TABLES_SQL = """tables AS (SELECT o_custkey AS doc_id, CAST(1 + o_orderkey % 7 AS INTEGER) AS page,
@@ -147,78 +152,91 @@ TABLES_SQL = """tables AS (SELECT o_custkey AS doc_id, CAST(1 + o_orderkey % 7 A
 
 
 def page_tables(spark, sf_dir):
-    tables = fx.table(spark, sf_dir, "orders").selectExpr(
+    return fx.table(spark, sf_dir, "orders").selectExpr(
         "o_custkey AS doc_id", "cast(1 + o_orderkey % 7 AS int) AS page",
         "o_orderkey AS table_idx", "cast(o_orderkey * 7 % 900 AS int) AS cells",
     )
-    counts = fx.table(spark, sf_dir, "customer").selectExpr(
-        "c_custkey AS doc_id", "7 AS page_count"
-    )
-    return tables, counts
 
 
-_TABLE_WALK_SQL = f"""{TABLES_SQL}, walk AS (SELECT *, row_number() OVER w AS nth, sum(cells) OVER w AS total
-    FROM tables WHERE page <= 5 WINDOW w AS (PARTITION BY doc_id ORDER BY page, table_idx)),
-  marked AS (SELECT *, nth <= 4 AND total <= 1500 AS kept FROM walk)"""
+# A step reads the table at hand, or begins a new batch with it; `begun` is the start page.
+_TABLE_WALK_SQL = f"""{TABLES_SQL}, rows_ AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, table_idx) AS nth FROM tables),
+  walk AS (SELECT doc_id, 1 AS nth, 0 AS batch, 0 AS held, 0 AS total, 1 AS begun FROM rows_ WHERE nth = 1 UNION ALL
+    SELECT w.doc_id, CASE WHEN act = 'read' THEN w.nth + 1 ELSE w.nth END, CASE WHEN act = 'read' OR held = 0 THEN batch ELSE batch + 1 END,
+      CASE WHEN act = 'read' THEN held + 1 ELSE 0 END, CASE WHEN act = 'read' THEN total + cells ELSE 0 END,
+      CASE act WHEN 'read' THEN begun WHEN 'window' THEN begun + 5 * ((page - begun) // 5) ELSE page END
+    FROM (SELECT w.*, page, cells, CASE WHEN page >= begun + 5 THEN 'window' WHEN held + 1 > 4 OR total + cells > 1500 THEN CASE WHEN held = 0 THEN 'error' ELSE 'stop' END
+        ELSE 'read' END AS act FROM walk w JOIN rows_ r ON r.doc_id = w.doc_id AND r.nth = w.nth) w WHERE act <> 'error'),
+  acts AS (SELECT w.*, page, table_idx, cells, CASE WHEN page >= begun + 5 THEN 'window' WHEN held + 1 > 4 OR total + cells > 1500
+      THEN CASE WHEN held = 0 THEN 'error' ELSE 'stop' END ELSE 'read' END AS act FROM walk w JOIN rows_ r ON r.doc_id = w.doc_id AND r.nth = w.nth)"""
 
 
 @REG.add(
     "page_by_tables",
-    f"""WITH {_TABLE_WALK_SQL} SELECT doc_id, page, table_idx, cells FROM marked WHERE kept""",
+    f"""WITH RECURSIVE {_TABLE_WALK_SQL} SELECT doc_id, page, table_idx, cells, CAST(batch AS BIGINT) AS batch FROM acts WHERE act = 'read'""",
 )
 def _by_tables(spark, sf_dir):
-    return op.page_by_tables(*page_tables(spark, sf_dir), max_tables=4, max_cells=1500)[0]
+    return batches.batches_by_tables(page_tables(spark, sf_dir), 4, 1500)[0]
 
 
 @REG.add(
     "page_by_tables_cursor",
-    f"""WITH {_TABLE_WALK_SQL}, s AS (SELECT doc_id, count(*) FILTER (kept) AS table_count,
-        CAST(coalesce(sum(cells) FILTER (kept), 0) AS BIGINT) AS cell_count, bool_or(NOT kept) AS truncated,
-        min(nth) FILTER (NOT kept) AS at, bool_or(nth = 1 AND cells > 1500) AS bad FROM marked GROUP BY 1)
-    SELECT s.doc_id, table_count, cell_count, truncated, CAST(coalesce(m.page, 6) AS INTEGER) AS next_page,
-      coalesce(m.table_idx, 0) AS next_table, CASE WHEN bad THEN 'first_table_too_large' END AS error
-    FROM s LEFT JOIN marked m ON m.doc_id = s.doc_id AND m.nth = s.at""",
+    f"""WITH RECURSIVE {_TABLE_WALK_SQL}, s AS (SELECT doc_id, batch, min(begun) AS start_page, count(*) FILTER (act = 'read') AS table_count,
+        CAST(coalesce(sum(cells) FILTER (act = 'read'), 0) AS BIGINT) AS cell_count, max(CASE WHEN act = 'error' THEN 'first_table_too_large' END) AS error,
+        min(CASE WHEN act = 'error' THEN page END) AS bad_page, min(CASE WHEN act = 'error' THEN table_idx END) AS bad_table
+      FROM acts WHERE act IN ('read', 'error') GROUP BY 1, 2),
+    n AS (SELECT doc_id, batch, begun, page, table_idx FROM acts WHERE act IN ('read', 'error') AND held = 0)
+    SELECT s.doc_id, CAST(s.batch AS BIGINT) AS batch, CAST(start_page AS BIGINT) AS start_page, table_count, cell_count,
+      CAST(coalesce(CASE WHEN error IS NOT NULL THEN bad_page ELSE n.begun END, -1) AS INTEGER) AS next_page,
+      coalesce(CASE WHEN error IS NOT NULL THEN bad_table WHEN n.page < start_page + 5 THEN n.table_idx WHEN n.page IS NOT NULL THEN 0 END, -1) AS next_table, error
+    FROM s LEFT JOIN n ON n.doc_id = s.doc_id AND n.batch = s.batch + 1""",
 )
 def _by_tables_cursor(spark, sf_dir):
-    return op.page_by_tables(*page_tables(spark, sf_dir), max_tables=4, max_cells=1500)[1]
+    cursor = batches.batches_by_tables(page_tables(spark, sf_dir), 4, 1500)[1]
+    return cursor.fillna(-1, ["next_page", "next_table"])
 
 
-_PARA_WALK_SQL = f"""{fx.PARAGRAPHS_SQL}, walk AS (SELECT *, row_number() OVER w AS nth, sum(length(text)) OVER w AS total
-    FROM paras WHERE pos >= 1 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-  marked AS (SELECT *, nth <= 12 AND (nth = 1 OR total <= 900) AS kept FROM walk)"""
+_PARA_WALK_SQL = f"""{fx.PARAGRAPHS_SQL}, rows_ AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM paras),
+  walk AS (SELECT doc_id, pos, text, nth, 0 AS batch, 1 AS held, length(text) AS total FROM rows_ WHERE nth = 1 UNION ALL
+    SELECT r.doc_id, r.pos, r.text, r.nth, CASE WHEN held = 12 OR total + length(r.text) > 900 THEN batch + 1 ELSE batch END,
+      CASE WHEN held = 12 OR total + length(r.text) > 900 THEN 1 ELSE held + 1 END,
+      CASE WHEN held = 12 OR total + length(r.text) > 900 THEN length(r.text) ELSE total + length(r.text) END
+    FROM walk w JOIN rows_ r ON r.doc_id = w.doc_id AND r.nth = w.nth + 1)"""
 
 
 @REG.add(
     "page_by_paragraphs",
-    f"""WITH {_PARA_WALK_SQL} SELECT doc_id, pos, text FROM marked WHERE kept""",
+    f"""WITH RECURSIVE {_PARA_WALK_SQL} SELECT doc_id, pos, text, CAST(batch AS BIGINT) AS batch FROM walk""",
 )
 def _by_paragraphs(spark, sf_dir):
-    return op.page_by_paragraphs(fx.paragraphs(spark, sf_dir), 12, 900, start=1)[0]
+    return batches.batches_by_paragraphs(fx.paragraphs(spark, sf_dir), 12, 900)[0]
 
 
 @REG.add(
     "page_by_paragraphs_cursor",
-    f"""WITH {_PARA_WALK_SQL} SELECT doc_id, count(*) FILTER (kept) AS paragraph_count,
-      CAST(sum(length(text)) FILTER (kept) AS BIGINT) AS char_count,
-      coalesce(min(pos) FILTER (NOT kept), -1) AS next_paragraph FROM marked GROUP BY 1""",
+    f"""WITH RECURSIVE {_PARA_WALK_SQL}, b AS (SELECT doc_id, batch, count(*) AS paragraph_count, CAST(sum(length(text)) AS BIGINT) AS char_count, min(pos) AS pos
+      FROM walk GROUP BY 1, 2)
+    SELECT b.doc_id, CAST(b.batch AS BIGINT) AS batch, b.paragraph_count, b.char_count, coalesce(n.pos, -1) AS next_paragraph
+    FROM b LEFT JOIN b n ON n.doc_id = b.doc_id AND n.batch = b.batch + 1""",
 )
 def _by_paragraphs_cursor(spark, sf_dir):
-    cursor = op.page_by_paragraphs(fx.paragraphs(spark, sf_dir), 12, 900, start=1)[1]
+    cursor = batches.batches_by_paragraphs(fx.paragraphs(spark, sf_dir), 12, 900)[1]
     return cursor.withColumn("next_paragraph", F.coalesce("next_paragraph", F.lit(-1)))
 
 
 @REG.add(
     "tables_by_cells",
-    f"""WITH {TABLES_SQL}, walk AS (SELECT *, row_number() OVER w AS nth,
-        1200 - coalesce(sum(cells) OVER (PARTITION BY doc_id ORDER BY table_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
-      FROM tables WINDOW w AS (PARTITION BY doc_id ORDER BY table_idx))
-    SELECT doc_id, table_idx, CAST(least(cells, room) AS BIGINT) AS used, cells > room AS truncated
-    FROM walk WHERE nth <= 6 AND room > 0""",
+    f"""WITH RECURSIVE {TABLES_SQL}, rows_ AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY table_idx) AS nth FROM tables),
+    walk AS (SELECT doc_id, 1 AS nth, 0 AS batch, 0 AS held, 1200 AS room FROM rows_ WHERE nth = 1 UNION ALL
+      SELECT w.doc_id, CASE WHEN held = 6 OR room <= 0 OR (cells > room AND held > 0) THEN w.nth ELSE w.nth + 1 END,
+        CASE WHEN held = 6 OR room <= 0 OR cells > room THEN batch + 1 ELSE batch END,
+        CASE WHEN held = 6 OR room <= 0 OR cells > room THEN 0 ELSE held + 1 END, CASE WHEN held = 6 OR room <= 0 OR cells > room THEN 1200 ELSE room - cells END
+      FROM walk w JOIN rows_ r ON r.doc_id = w.doc_id AND r.nth = w.nth)
+    SELECT w.doc_id, table_idx, CAST(batch AS BIGINT) AS batch, CAST(least(cells, room) AS BIGINT) AS used, cells > room AS truncated
+    FROM walk w JOIN rows_ r ON r.doc_id = w.doc_id AND r.nth = w.nth WHERE held < 6 AND room > 0""",
 )
 def _by_cells(spark, sf_dir):
-    tables = page_tables(spark, sf_dir)[0]
-    rows = op.tables_by_cells(tables, 6, 1200)[0]
-    return rows.select("doc_id", "table_idx", "used", "truncated")
+    rows = batches.batches_by_cells(page_tables(spark, sf_dir), 6, 1200)[0]
+    return rows.select("doc_id", "table_idx", "batch", "used", "truncated")
 
 
 @REG.add(

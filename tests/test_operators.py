@@ -223,55 +223,27 @@ def test_best_pages_ties_and_whole_documents(spark):
     assert rows(pages.engine_label(chosen), "doc_id") == [(1, "hybrid"), (2, "q")]
 
 
-def read_batch(texts, start, offset, budget, max_pages):
-    """Plain walk over one document: (rows, next page, next offset)."""
-    out, used, stop = [], 0, None
-    last = min(len(texts), start + max_pages - 1)
-    for page in range(start, last + 1):
-        text, good = texts[page - 1]
-        at = offset if page == start else 0
-        if not good:
-            out.append((page, "", True))
-            continue
-        rest, room = text[at:], budget - used
-        if room <= 0:
-            stop = (page, at)
-            break
-        if len(rest) > room:
-            if used and room < min(500, len(rest)):
-                stop = (page, at)
-                break
-            out.append((page, rest[:room], False))
-            stop = (page, at + room)
-            break
-        out.append((page, rest, True))
-        used += len(rest)
-    if stop is None:
-        stop = (last + 1 if last < len(texts) else None, 0)
-    return out, *stop
-
-
-def test_page_by_chars_like_a_walk(spark):
-    rng = random.Random(4)
-    docs, cursors = {}, []
-    for doc in range(60):
-        sizes = [rng.choice([0, 1, 20, 499, 500, 501, 700, 1500, 3000]) for _ in range(rng.randint(1, 12))]
-        docs[doc] = [(chr(97 + i % 26) * n, rng.random() > 0.25) for i, n in enumerate(sizes)]
-        start = rng.randint(1, len(sizes))
-        text, good = docs[doc][start - 1]
-        cursors.append((doc, start, rng.choice([0, len(text) // 2, len(text)]) if good else 0))
-    data = [(d, i + 1, "e", "good" if g else "poor", t) for d, ts in docs.items() for i, (t, g) in enumerate(ts)]
+def test_page_by_chars_worked_cases(spark):
+    sizes = {1: [700, 900, 20], 2: [900, 700, 20], 3: [2400], 4: [1000, 3000], 5: [0, 10, 0], 6: [300, 200, 600]}
+    bad = {(2, 1), (5, 2)}
+    data = [(d, k + 1, "e", "poor" if (d, k + 1) in bad else "good", "x" * n) for d, ns in sizes.items() for k, n in enumerate(ns)]
     df = spark.createDataFrame(data, "doc_id int, page int, engine string, status string, text string")
-    starts = spark.createDataFrame(cursors, "doc_id int, start_page int, start_offset int")
-    for budget in (1000, 1500, 24000):
-        got = pages.page_by_chars(df, budget, 6, starts)
-        found = {}
-        for r in got.orderBy("doc_id", "page").collect():
-            found.setdefault(r.doc_id, ([], r.next_page, r.next_offset))[0].append((r.page, r.text, r.complete))
-        for doc, start, offset in cursors:
-            want = read_batch(docs[doc], start, offset, budget, 6)
-            if want[0]:
-                assert found[doc] == want, (doc, budget)
+    got = {}
+    for r in pages.page_by_chars(df, 1000, 6).orderBy("page").collect():
+        got.setdefault(r.doc_id, []).append((r.page, r.offset_start, r.offset_end, r.complete, r.next_page, r.next_offset))
+    assert got == {
+        1: [(1, 0, 700, True, 2, 0)],  # 300 left, under 500 and under the rest of page 2: skipped
+        2: [(1, 0, 0, True, None, 0), (2, 0, 700, True, None, 0), (3, 0, 20, True, None, 0)],  # the poor page costs nothing
+        3: [(1, 0, 1000, False, 1, 1000)],
+        4: [(1, 0, 1000, True, 2, 0)],  # nothing left
+        5: [(1, 0, 0, True, None, 0), (2, 0, 0, True, None, 0), (3, 0, 0, True, None, 0)],
+        6: [(1, 0, 300, True, 3, 500), (2, 0, 200, True, 3, 500), (3, 0, 500, False, 3, 500)],  # just 500 left: cut
+    }
+    starts = spark.createDataFrame([(3, 1, 1900), (4, 2, 500), (1, 3, 20)], "doc_id int, start_page int, start_offset int")
+    rest = pages.page_by_chars(df, 1000, 6, starts).filter("doc_id IN (1, 3, 4)")
+    assert rows(rest.select("doc_id", "page", "offset_start", "offset_end", "next_page", "next_offset"), "doc_id") == [
+        (1, 3, 20, 20, None, 0), (3, 1, 1900, 2400, None, 0), (4, 2, 500, 1500, 2, 1500),
+    ]
 
 
 def test_page_cursor_errors(spark):
