@@ -8,6 +8,7 @@ from checks.registry import Registry
 from parlance import fixtures as fx
 from parlance.functions import clock, text
 from parlance.operators import messages as msg
+from parlance.operators import requests as req
 from parlance.plans.chat_export import chat_export, exportable_messages
 
 REG = Registry()
@@ -363,3 +364,65 @@ def _safe_names(spark, sf_dir):
         "CASE WHEN page_id % 9 = 0 THEN ' . ' ELSE concat('.', url, ' ?  ') END AS x",
     )
     return rows.select("doc_id", text.safe_name(F.col("x")).alias("name"))
+
+
+# One request of every fifth event, at its own time or a little later; some are wrong.
+_REQUESTS = (
+    "event_id AS request_id", "concat('r', user_id % 8, '@chatroom') AS from_wxid", "concat('u', user_id) AS sender_wxid",
+    "{seconds} + event_id % 3 * 40000 AS now", "CASE WHEN event_id % 4 > 0 THEN event_id % 35 % 7 END AS n",
+)
+_ASKED_SQL = f"""{fx.MESSAGES_SQL}, asked AS (SELECT {', '.join(_REQUESTS).format(seconds='CAST(floor(epoch(ts)) AS BIGINT)')},
+  CASE event_id % 6 WHEN 0 THEN ['image'] WHEN 1 THEN [' Video', 'voice', 'video'] WHEN 2 THEN ['all'] WHEN 3 THEN ['photo'] END AS types
+  FROM events WHERE event_id % 5 = 0),
+good AS (SELECT *, coalesce(n, 1) AS most FROM asked WHERE coalesce(n, 1) >= 1 AND coalesce(types[1], '') <> 'photo'),
+found AS (SELECT g.request_id, m.*, row_number() OVER (PARTITION BY request_id ORDER BY created_at DESC, id DESC) AS newest, most
+  FROM good g JOIN messages m ON m.from_wxid = g.from_wxid AND m.sender_wxid = g.sender_wxid AND created_at BETWEEN now - 400000 AND now
+    AND type IN (3, 43, 34) AND (types IS NULL OR types[1] = 'all' OR (types[1] = 'image' AND type = 3) OR (types[1] = ' Video' AND type IN (43, 34)))
+  QUALIFY newest <= most)"""
+
+
+def media_requests(spark, sf_dir):
+    types = """CASE event_id % 6 WHEN 0 THEN array('image') WHEN 1 THEN array(' Video', 'voice', 'video') WHEN 2 THEN array('all')
+      WHEN 3 THEN array('photo') END AS types"""
+    kept = [c.format(seconds="unix_seconds(cast(ts AS timestamp))") for c in _REQUESTS]
+    return fx.table(spark, sf_dir, "events").filter("event_id % 5 = 0").selectExpr(*kept, types)
+
+
+@REG.add("requested_media", f"WITH {_ASKED_SQL} SELECT request_id, id, type, created_at, newest FROM found")
+def _requested_media(spark, sf_dir):
+    rows = req.recent_media(fx.messages(spark, sf_dir), media_requests(spark, sf_dir), 400000)
+    return rows.select("request_id", "id", "type", "created_at", F.col("newest").cast("long").alias("newest"))
+
+
+@REG.add(
+    "requested_media_lists",
+    f"""WITH {_ASKED_SQL} SELECT g.request_id,
+      {_MEDIA_LIST_SQL.format('attachment_url IS NOT NULL')} AS media_urls,
+      {_MEDIA_LIST_SQL.format('type = 3 AND attachment_url IS NOT NULL')} AS image_urls,
+      {_MEDIA_LIST_SQL.format('type = 43 AND attachment_url IS NOT NULL')} AS video_urls,
+      {_MEDIA_LIST_SQL.format('type = 34 AND attachment_url IS NOT NULL')} AS voice_urls,
+      coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY created_at, id) FILTER (id IS NOT NULL AND attachment_url IS NULL), '') AS needs_fetch
+    FROM good g LEFT JOIN found f ON f.request_id = g.request_id GROUP BY 1""",
+)
+def _requested_lists(spark, sf_dir):
+    lists = req.requested_lists(fx.messages(spark, sf_dir), media_requests(spark, sf_dir), 400000).drop("from_wxid", "sender_wxid")
+    names = [c for c in lists.columns if c != "request_id"]
+    return lists.select("request_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in names])
+
+
+@REG.add(
+    "request_errors",
+    f"""WITH {_ASKED_SQL} SELECT request_id, CASE WHEN n < 1 THEN 'number' ELSE 'type' END AS error FROM asked WHERE n < 1 OR types[1] = 'photo'""",
+)
+def _request_errors(spark, sf_dir):
+    return req.request_errors(media_requests(spark, sf_dir)).select("request_id", "error")
+
+
+@REG.add(
+    "recent_windows",
+    f"""WITH {_ASKED_SQL} SELECT request_id, id, created_at FROM asked a JOIN messages m ON m.from_wxid = a.from_wxid AND created_at BETWEEN now - 20000 AND now""",
+)
+def _recent_windows(spark, sf_dir):
+    asked = media_requests(spark, sf_dir).select("request_id", "from_wxid", "now")
+    found = req.messages_in_windows(fx.messages(spark, sf_dir), asked, 20000, ("from_wxid",))
+    return found.select("request_id", "id", "created_at")

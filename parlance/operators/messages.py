@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,15 +181,15 @@ def latest_media(df: DataFrame, n: int = 1) -> DataFrame:
     return newest
 
 
-def media_lists(latest: DataFrame) -> DataFrame:
-    """URL lists per (room, sender), oldest first: all and by type, and the rows still to fetch.
+def media_lists(latest: DataFrame, keys: Sequence[str] = ("from_wxid", "sender_wxid")) -> DataFrame:
+    """URL lists per key, oldest first: all and by type, and the rows still to fetch.
 
     Takes the rows of `latest_media`, hence at most n per group.
     """
     url = strip(F.coalesce(F.col("attachment_url"), F.lit("")))
     rows = latest.withColumn("url", url)
     item = F.struct("created_at", "id", "media_type", "url")
-    grouped = rows.groupBy("from_wxid", "sender_wxid").agg(
+    grouped = rows.groupBy(*keys).agg(
         F.array_sort(F.collect_list(item)).alias("items")
     )
 
@@ -199,8 +201,7 @@ def media_lists(latest: DataFrame) -> DataFrame:
         return F.transform(kept, lambda x: x["url"])
 
     return grouped.select(
-        "from_wxid",
-        "sender_wxid",
+        *keys,
         urls(None).alias("media_urls"),
         urls("image").alias("image_urls"),
         urls("video").alias("video_urls"),
