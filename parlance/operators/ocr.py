@@ -7,9 +7,12 @@ doc_id, page, key (see `match_key`) and a box x0, y0, x1, y1 scaled to the page.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -348,83 +351,103 @@ def dedupe_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _line_starts(tops: pd.Series) -> pd.Series:
-    """Where lines start (from 1) in the ordered tops of an island: at a top too far from the
-    running mean of its line. Islands that need no walk come as null."""
-
-    def starts(values) -> list[int] | None:
-        if values is None:
-            return None
-        out, total, count = [], 0.0, 0
-        for place, top in enumerate(values, start=1):
-            if count == 0 or abs(top - total / count) > LINE_GAP:
-                out.append(place)
+def _line_starts(hard: np.ndarray, tops: np.ndarray) -> np.ndarray:
+    """Where lines start: at `hard` starts, and in between at a top too far from the mean of its line."""
+    firsts = np.flatnonzero(hard)
+    heights = np.maximum.reduceat(tops, firsts) - np.minimum.reduceat(tops, firsts)
+    ends = np.append(firsts[1:], len(tops))
+    starts = [firsts]
+    for k in np.flatnonzero(heights > LINE_GAP).tolist():
+        total, count, soft = 0.0, 0, []
+        for at, top in enumerate(tops[firsts[k] : ends[k]].tolist(), start=int(firsts[k])):
+            if count and abs(top - total / count) > LINE_GAP:
+                soft.append(at)
                 total, count = 0.0, 0
             total += top
             count += 1
-        return out
-
-    return tops.map(starts, na_action=None)
+        starts.append(np.array(soft, np.int64))
+    return np.sort(np.concatenate(starts))
+
+
+def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of words that come sorted by page and place; only the words of the open line are carried on."""
+    held: pa.Table | None = None
+    island = line = 0  # of the open line
+
+    def lines(words: pa.Table, more: bool) -> tuple[pa.RecordBatch | None, pa.Table | None]:
+        nonlocal island, line
+        column = {c: words.column(c).combine_chunks() for c in words.column_names}
+        band, top = column["band"].to_numpy(), column["top"].to_numpy()
+        other = np.ones(len(band), bool)
+        apart = np.concatenate(([False], np.diff(band) >= 3))
+        other[1:] = False
+        for c in PAGE:
+            code = column[c].dictionary_encode(null_encoding="encode").indices.to_numpy()
+            other[1:] |= code[1:] != code[:-1]
+        starts = _line_starts(other | apart, top)
+        # Islands and lines count on from those of the open line.
+        page = np.cumsum(other[starts]) - 1
+        jump = np.cumsum((apart & ~other)[starts])
+        first_of_page = np.flatnonzero(other[starts])
+        islands = jump - jump[first_of_page][page] + np.where(page == 0, island, 0)
+        fresh = other[starts] | apart[starts]
+        fresh[0] = True
+        group = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        numbers = np.arange(len(starts)) - group + np.where(group == 0, line, 0)
+        if more:
+            done, island, line = len(starts) - 1, int(islands[-1]), int(numbers[-1])
+            rest = words.slice(int(starts[-1]))
+            words, starts = words.slice(0, int(starts[-1])), starts[:-1]
+            if not done:
+                return None, rest
+        else:
+            done, rest = len(starts), None
+        n = len(words)
+        number = np.repeat(np.arange(done), np.diff(np.append(starts, n)))
+        left = column["x0"].fill_null(-np.inf).to_numpy()[:n]
+        order = np.lexsort((column["idx"].to_numpy()[:n], band[:n], left, number))
+        texts = column["text"].slice(0, n).fill_null("").take(pa.array(order)).to_pylist()
+        bounds = [*starts.tolist(), n]
+        text = [" ".join(texts[a:b]) for a, b in zip(bounds, bounds[1:])]
+        edges = []
+        for c, pick in (("x0", np.fmin), ("top", np.fmin), ("x1", np.fmax), ("bottom", np.fmax), ("width", np.fmax), ("height", np.fmax)):
+            values = pick.reduceat(column[c].to_numpy(zero_copy_only=False)[:n], starts)
+            edges.append(pa.array(values, pa.float64(), from_pandas=True))
+        at = pa.array(starts)
+        fields = [*PAGE, "island", "line", "text", "x0", "top", "x1", "bottom", "width", "height"]
+        arrays = [*(column[c].take(at) for c in PAGE), pa.array(islands[:done], pa.int64()), pa.array(numbers[:done], pa.int32()), pa.array(text, pa.string())]
+        return pa.RecordBatch.from_arrays([*arrays, *edges], names=fields), rest
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = pa.Table.from_batches([batch])
+        out, held = lines(new if held is None else pa.concat_tables([held, new]), True)
+        if out is not None:
+            yield out
+    if held is not None:
+        yield lines(held, False)[0]
 
 
 def group_words(words: DataFrame) -> DataFrame:
     """Words (doc_id, page, idx, text, x0, top, x1, bottom, width, height) as native lines.
 
-    A page falls into islands: bands of 2.5 units apart by three or more are too far apart to
-    share a line, so every island is independent. An island no taller than the line gap is one
-    line, which a plain aggregate builds; only taller islands are walked word by word.
+    Words are taken in the order of bands of 2.5 units, then from left to right; a word whose top is
+    more than the line gap from the mean top of the open line begins a new one. Bands apart by three or
+    more begin a new island of lines. Words are shuffled once, by page, and sorted; each task then
+    passes over them in Arrow batches and holds no more than the open line, whatever the size of a page.
     """
-    rows = words.filter(F.col("top").isNotNull()).withColumn(
-        "band", F.bround(F.col("top") / WORD_BAND).cast("long")
-    )
-    bands = rows.groupBy(*PAGE, "band").agg(F.min("top").alias("_lo"), F.max("top").alias("_hi"))
-    in_order = Window.partitionBy(*PAGE).orderBy("band")
-    gap = F.col("band") - F.lag("band").over(in_order) >= 3
-    islands = bands.withColumn(
-        "island",
-        F.sum(F.when(gap, 1).otherwise(0)).over(
-            in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ),
-    )
-    heights = islands.groupBy(*PAGE, "island").agg(
-        (F.max("_hi") - F.min("_lo") > LINE_GAP).alias("_tall")
-    )
-    islands = islands.join(heights, [*PAGE, "island"]).select(*PAGE, "band", "island", "_tall")
-    placed = rows.join(islands, [*PAGE, "band"])
-    word = F.struct("band", "x0", "idx", "top", "x1", "bottom", "text")
-    grouped = placed.groupBy(*PAGE, "island").agg(
-        F.array_sort(F.collect_list(word)).alias("_words"),
-        F.bool_or("_tall").alias("_tall"),
-        F.max("width").alias("width"),
-        F.max("height").alias("height"),
-    )
-    tops = F.when(F.col("_tall"), F.transform("_words", lambda w: w["top"]))
-    walked = grouped.withColumn("_starts", _line_starts(tops))
-    end = F.size("_words") + 1
-    runs = F.transform(
-        "_starts",
-        lambda start, i: F.slice(
-            "_words", start, F.coalesce(F.get("_starts", i + 1), end) - start
-        ),
-    )
-    lines = walked.select(
-        *PAGE, "island", "width", "height",
-        F.posexplode(F.coalesce(runs, F.array("_words"))).alias("line", "_line"),
-    )
-    placed_texts = F.array_sort(
-        F.transform("_line", lambda w: F.struct(w["x0"], w["band"], w["idx"], w["text"]))
-    )
-    text = clean_lines(F.array_join(F.transform(placed_texts, lambda w: w["text"]), " ", ""))
-
-    def edge(pick, name: str) -> Column:
-        return pick(F.transform("_line", lambda w: w[name]))
-
-    box = norm_box(
-        edge(F.array_min, "x0"), edge(F.array_min, "top"), edge(F.array_max, "x1"),
-        edge(F.array_max, "bottom"), F.col("width"), F.col("height"),
-    )
-    keyed = lines.withColumn("text", text).withColumn("_box", box).withColumn("key", match_key("text"))
-    return keyed.filter("key <> '' AND _box IS NOT NULL").select(
-        *PAGE, "island", "line", "text", "key", "_box.*"
-    )
+    rows = words.filter(F.col("top").isNotNull()).withColumn("band", F.bround(F.col("top") / WORD_BAND).cast("long"))
+    kinds = {f.name: f.dataType.simpleString() for f in words.schema.fields}
+    boxes = ("x0", "top", "x1", "bottom", "width", "height")
+    slim = rows.select(
+        *PAGE, "band", F.col("x0").cast("double"), "idx", *[F.col(c).cast("double") for c in ("top", "x1", "bottom")], "text",
+        *[F.col(c).cast("double") for c in ("width", "height")],
+    )
+    ordered = slim.repartition(*PAGE).sortWithinPartitions(*PAGE, "band", "x0", "idx")
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in PAGE), "island long, line int, text string", *(f"{c} double" for c in boxes)])
+    lines = ordered.mapInArrow(_scan_lines, schema)
+    box = norm_box(*[F.col(c) for c in boxes])
+    keyed = lines.select(*PAGE, "island", "line", clean_lines(F.col("text")).alias("text"), box.alias("_box"))
+    keyed = keyed.withColumn("key", match_key("text"))
+    return keyed.filter("key <> '' AND _box IS NOT NULL").select(*PAGE, "island", "line", "text", "key", "_box.*")

@@ -1,5 +1,6 @@
 """Operators against brute-force twins on small generated inputs, hot keys included."""
 
+import collections
 import random
 import re
 from difflib import SequenceMatcher
@@ -402,3 +403,29 @@ def test_edit_arguments(spark):
         textedit.remove_matching(df, "a", "regex")
     got = textedit.insert_after(df, "a", ["b"], mode="exact")
     assert rows(got, "pos") == [(1, 0, "a"), (1, 1, "b")]
+
+
+def test_group_words_like_collected_pages(spark):
+    """Pages larger than an Arrow batch, against lines built from each page held whole."""
+    rng = random.Random(12)
+    data = []
+    for page in range(6):
+        for i in range(3000 if page == 0 else 40):
+            top, left = round(rng.uniform(0, 900 if page % 2 else 60), 1), round(rng.uniform(0, 500), 1)
+            data.append((1, page, i, rng.choice(["ab", "Cd", "é", "-", "x y"]), left, top, left + 9, top + 5, 600.0, 1000.0))
+    df = spark.createDataFrame(data, "doc_id int, page int, idx int, text string, x0 double, top double, x1 double, bottom double, width double, height double")
+    want = collections.Counter()
+    for page in range(6):
+        words = sorted((w for w in data if w[1] == page), key=lambda w: (round(w[5] / 2.5), w[4], w[2]))
+        lines = [[words[0]]]
+        for w in words[1:]:
+            mean = sum(x[5] for x in lines[-1]) / len(lines[-1])
+            if abs(w[5] - mean) > 3.0 or round(w[5] / 2.5) - round(lines[-1][-1][5] / 2.5) >= 3:
+                lines.append([])
+            lines[-1].append(w)
+        for held in lines:
+            text = " ".join(w[3] for w in sorted(held, key=lambda w: (w[4], round(w[5] / 2.5), w[2])))
+            if any(c.isalnum() for c in text):
+                want[page, text, round(min(w[4] for w in held) / 600, 9), round(max(w[7] for w in held) / 1000, 9)] += 1
+    got = collections.Counter((r.page, r.text, round(r.x0, 9), round(r.y1, 9)) for r in ocr.group_words(df.repartition(3)).collect())
+    assert got == want
