@@ -15,12 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.byte_transducer import Transducer
 from parlance.llm.common import arrow_rows
 
 #: How a token that reaches over a boundary is allotted: to the section of its first or last
 #: character, or to the one that holds most of its characters (the earlier one of equals).
 RULES = ("first", "last", "most")
 
+#: The library's splitter overflows its stack in runs of white space of about a million characters; texts with runs
+#: from this length on are split and encoded by the byte transducer, which gives the same ids in linear time.
+LONG_SPACE = 100_000
+
 _ENCODERS: dict[tuple[str, int], object] = {}
 
 
@@ -35,10 +40,29 @@ def _encoder(ranks: bytes, pattern: str):
         for token, rank in table.items():
             lengths[rank] = len(token)
         coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        _ENCODERS[key] = coder, lengths
+        _ENCODERS[key] = _Encoder(coder, table, pattern), lengths
     return _ENCODERS[key]
 
 
+class _Encoder:
+    """The library's encoder, and a second one that texts with very long white space need."""
+
+    def __init__(self, library, ranks: dict[bytes, int], pattern: str):
+        import regex
+
+        self.library, self.ranks = library, ranks
+        self.split = regex.compile(pattern)
+        self.spaces = regex.compile(rf"\s{{{LONG_SPACE}}}")
+        self.machine: Transducer | None = None
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        if len(text) < LONG_SPACE or not self.spaces.search(text):
+            return self.library.encode_ordinary(text)
+        if self.machine is None:
+            self.machine = Transducer(self.ranks)
+        return self.machine.encode(self.split.findall(text))
+
+
 def token_spans(text: str, encoder) -> tuple[np.ndarray, np.ndarray]:
     """First character and end (exclusive) of each token; a token that holds a part of a character spans it."""
     coder, lengths = encoder

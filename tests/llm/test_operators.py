@@ -59,6 +59,34 @@ def test_attribution_adds_up(docs):
         assert {1, 2, 3, 4, 5, 6, 7, None} == set(total) and total[1] == total[2] == 0
 
 
+def test_spans_like_decoding_every_token():
+    """A token spans the characters whose bytes it holds, found by decoding all tokens before it."""
+    encoder = token_attribution._encoder(read_bytes(RANK_FILE), P.PATTERN)
+    lib = encoder[0].library
+    r = random.Random(6)
+    for k in range(200):
+        text = "".join(r.choice("abc the é😀ñ\n ▁ﬁ\x00") for _ in range(r.randrange(1, 60)))
+        owner = [i for i, c in enumerate(text) for _ in c.encode()]  # the character of each byte
+        starts, ends, at = [], [], 0
+        for token in lib.encode_ordinary(text):
+            size = len(lib.decode_single_token_bytes(token))
+            starts.append(owner[at])
+            ends.append(owner[at + size - 1] + 1)
+            at += size
+        got = token_attribution.token_spans(text, encoder)
+        assert at == len(owner) and got[0].tolist() == starts and got[1].tolist() == ends
+
+
+def test_very_long_runs_of_one_character():
+    encoder = token_attribution._encoder(read_bytes(RANK_FILE), P.PATTERN)
+    for char in " \t\n\u2003aé7.":
+        text = "x" + char * 5_000_000 + "y"
+        starts, ends = token_attribution.token_spans(text, encoder)
+        assert starts[0] == 0 and ends[-1] == len(text) and (starts[1:] <= ends[:-1]).all() and (ends[1:] >= ends[:-1]).all()
+    few = "a" + " " * 120_000 + "b\n" + "\n" * 110_000 + " c"
+    assert encoder[0].encode_ordinary(few) == encoder[0].library.encode_ordinary(few)
+
+
 def test_crossing_tokens_follow_the_rule():
     import numpy as np
 
