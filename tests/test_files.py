@@ -4,6 +4,7 @@ import csv
 import glob
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -84,6 +85,36 @@ def test_export_files(spark, tmp_path):
         assert numbers == list(range(1, count + 1))
 
 
+def test_export_is_whole_or_not_there(spark, tmp_path):
+    rows = spark.createDataFrame([("r1", k, "t", "n", "w", f'line "{k}"\nnext, {k}') for k in range(1, 40)] + [("r/2 é", 1, "t", "n", None, "")],
+                                 "room string, seq int, sent_at string, sender_name string, sender_wxid string, message string")
+    manifest = spark.createDataFrame([("r1", 39), ("r/2 é", 1)], "room string, message_count long")
+    out = str(tmp_path / "export")
+
+    @F.udf("string")
+    def fails(seq):
+        if seq == 30:
+            raise RuntimeError("task fails")
+        return "x"
+
+    broken = rows.withColumn("message", fails("seq"))
+    with pytest.raises(Exception, match="task fails"):
+        export.write_export(broken, manifest, out)
+    assert os.listdir(tmp_path) == []
+    with pytest.raises(export.ExportError):
+        export.write_export(rows, manifest.filter("room = 'r1'"), out)
+    with pytest.raises(export.ExportError):
+        export.write_export(rows.filter("seq <> 7"), manifest, out)
+    assert os.listdir(tmp_path) == []
+    export.write_export(rows, manifest, out)
+    assert {(r["room"], r["message_count"]) for r in export.written_counts(spark, f"{out}/rooms").collect()} == {("r1", 39), ("r/2 é", 1)}
+    with pytest.raises(Exception, match="task fails"):
+        export.write_export(broken, manifest, out)
+    assert os.listdir(tmp_path) == ["export"] and export.written_counts(spark, f"{out}/rooms").count() == 2
+    export.write_export(rows.limit(0), manifest.limit(0), out)
+    assert os.listdir(tmp_path) == ["export"] and not glob.glob(f"{out}/rooms/room=*")
+
+
 def test_export_limit(spark):
     log, roster = fx.messages(spark, SF), fx.members(spark, SF)
     every = exportable_messages(log, roster, "u3", 0, 2_000_000_000)
