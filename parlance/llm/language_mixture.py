@@ -21,6 +21,8 @@ from parlance.llm.common import arrow_rows
 FEATURES = 1 << 15
 #: Added to every count of a feature.
 SMOOTHING = 0.5
+#: Log-likelihood a trigram by which the background must win before a text counts as of no learned language.
+MARGIN = 2.0
 #: Log-likelihood that one more language must gain, for each unit of log(trigrams).
 PENALTY = 2.0
 ROUNDS, CLOSE = 40, 1e-3
@@ -138,6 +140,36 @@ def language_columns(spark, langs: list[str], model: np.ndarray):
     return columns
 
 
+def gain(text: str | None, langs: list[str], model: np.ndarray) -> float | None:
+    """What a text's mixture of languages explains better than a background in which all trigrams are as likely.
+
+    The difference of the log-likelihoods for each trigram; None without letters or learned languages.
+    """
+    found = mixture(text, langs, model)
+    if not found:
+        return None
+    numbers, counts = trigram_features(text or "")
+    like = model[[langs.index(lang) for lang in found]][:, numbers].T @ np.array(list(found.values()))
+    return float(counts @ np.log(like) / counts.sum() + np.log(FEATURES))
+
+
+def known_language(spark, langs: list[str], model: np.ndarray):
+    """A function of a text column: whether the background explains the text no better than its mixture by more than MARGIN.
+
+    False for a null text and one without letters; true for all texts where nothing could be learnt.
+    Trigrams never seen cost more the more was learnt, so little training text keeps nearly all texts with letters.
+    """
+    shared = spark.sparkContext.broadcast((langs, model.astype(np.float32)))
+
+    @F.pandas_udf("boolean")
+    def judge(text: pd.Series) -> pd.Series:
+        names, table = shared.value
+        found = (gain(t, names, table) for t in text)
+        return pd.Series([not names or (g is not None and g > -MARGIN) for g in found], index=text.index, dtype="bool")
+
+    return lambda text: judge(text.cast("string"))
+
+
 def predict_languages(docs: DataFrame, training: DataFrame) -> DataFrame:
     """doc_id, lang_pred, score, mixture of every row of `docs`, learnt from `training` (text, lang).
 

@@ -359,8 +359,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
         .groupBy(F.col("key").alias("__marked")).agg(F.max("drop").alias("__drop"))
     )
     few = marks.count() <= BROADCAST_DOCS
-    keyed = docs.withColumn("__key", _key())
+    # The rows travel packed, so that no name of theirs meets one of these.
+    keyed = docs.select(_key().alias("__key"), F.struct(*docs.columns).alias("__row"))
     joined = keyed.join(F.broadcast(marks) if few else marks, F.col("__key") == F.col("__marked"), "left")
     single = joined.filter(F.col("__marked").isNull())
     several = joined.filter(F.col("__marked").isNotNull() & ~F.col("__drop")).dropDuplicates(["__key"])
-    return single.unionByName(several).select(*docs.columns)
+    return single.unionByName(several).select("__row.*")
