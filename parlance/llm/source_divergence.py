@@ -31,8 +31,6 @@ _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 el
 COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
-
-
 def share(count: np.ndarray, total: np.ndarray, terms: int) -> np.ndarray:
     """1 + floor(SCALE * (count + 1) / (total + terms)), in two steps that stay within 64 bits."""
     x, whole = (count + 1) * 32_000, total + terms

@@ -11,7 +11,6 @@ long as the words agree gives the whole run, which ends where the square ends.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

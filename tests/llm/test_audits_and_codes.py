@@ -249,3 +249,32 @@ def test_audit_like_brute_force(spark, monkeypatch, columns, groups, frontier):
 def test_shares_of_large_counts():
     for count, total, terms in ((0, 0, 1), (10**13, 10**14, 7), (5, 10**14, 10**9), (10**14, 10**14, 1)):
         assert int(source_divergence.share(np.array([count]), np.array([total]), terms)[0]) == 1 + 10**9 * (count + 1) // (total + terms)
+
+
+@pytest.mark.parametrize("frontier", [500_000, 30])
+def test_tiles_like_all_cells(monkeypatch, frontier):
+    """Every column in which one of two rows has a count is priced once, with one tree and with two."""
+    monkeypatch.setattr(source_divergence, "FRONTIER", frontier)
+    r = random.Random(16)
+    for _ in range(40):
+        columns, terms = r.randrange(1, 40), 50
+        sides = []
+        for _ in range(2):
+            n = r.randrange(1, 9)
+            dense = np.array([[r.choice([0, 0, 0, 1, 5]) for _ in range(columns)] for _ in range(n)])
+            rows, across = np.nonzero(dense)
+            sides.append((dense, (dense.sum(axis=1) + r.randrange(3), rows, across, dense[rows, across])))
+        for other in (None, sides[1]):
+            (a, left), (b, right) = sides[0], other or sides[0]
+            got = {}
+            for x, y, there, back, seen in source_divergence.tile_sums(left, other and right, columns, terms):
+                got |= {(int(i), int(j)): (int(u), int(v), int(w)) for i, j, u, v, w in zip(x, y, there, back, seen)}
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    if other is None and j <= i:
+                        assert (i, j) not in got
+                        continue
+                    p, q = (source_divergence.share(m[k], s[0][k], terms) for m, s, k in ((a, left, i), (b, right, j)))
+                    on = (a[i] > 0) | (b[j] > 0)
+                    want = (((p - q) ** 2 // q)[on].sum(), ((p - q) ** 2 // p)[on].sum(), on.sum())
+                    assert got.get((i, j), (0, 0, 0)) == want
