@@ -330,6 +330,21 @@ def test_line_frequency_rules(docs):
     assert line_frequency.line_frequency_rules(docs([]).limit(0)).count() == 0
 
 
+def test_symbols_and_repeated_lines(docs):
+    r = random.Random(17)
+    lines = ["#a *b", "#a *b ", "", " ", "x", "$%&|<>", "é\r", "\t", "word & word"]
+    given = [(k, "\n".join(r.choice(lines) for _ in range(r.randrange(12)))) for k in range(200)] + [(900, None), (901, "##")]
+    got = {x["doc_id"]: x for x in line_frequency.line_frequency_rules(docs(given)).collect()}
+    for doc, text in given:
+        seen, repeated = set(), 0
+        for line in (text or "").split("\n"):
+            if line.strip(" \t\n\r\x0b\x0c"):
+                repeated += line in seen
+                seen.add(line)
+        assert got[doc]["n_symbols"] == sum((text or "").count(c) for c in "#*$%&|<>")
+        assert got[doc]["n_dup_lines"] == repeated
+
+
 def test_large_vocabularies_keep_windows_exact():
     text = " ".join([f"u{k}" for k in range(6000)] + [f"u{k}" for k in range(50)])
     assert line_frequency.repeated_words(text.encode().split()) == brute_repeats(text) == 100
