@@ -30,7 +30,8 @@ def _joined(
     fields: Sequence[str],
 ) -> tuple[DataFrame, Column, Column]:
     """(conversations with the structs, global struct, override struct)."""
-    base = globals_.limit(1).select(F.struct(*_present(globals_, fields)).alias("g"))
+    # Of several global rows the least, as of several overrides of one conversation.
+    base = globals_.agg(F.min(F.struct(*_present(globals_, fields))).alias("g"))
 
     def keyed(df: DataFrame, key: str, kind: str) -> DataFrame:
         ids = df.filter(conversation_kind(F.col(key)) == kind)
