@@ -6,8 +6,9 @@ doc_id, page, key (see `match_key`) and a box x0, y0, x1, y1 scaled to the page.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -38,6 +39,9 @@ NEAR_CONTAINED = 1.25
 WORD_BAND = 2.5
 LINE_GAP = 3.0
 
+#: Letter pairs whose counts reach the driver.
+FREQUENT_PAIRS = 4096
+
 
 def prepared_lines(lines: DataFrame) -> DataFrame:
     """Clean text, clamp confidence, round boxes and add the sort keys; empty lines drop out."""
@@ -175,54 +179,58 @@ def _bigrams(keys: pd.Series) -> pd.Series:
     return keys.map(bag)
 
 
+def _first_pairs(often: dict[str, int], least: float) -> Callable[[Column], Column]:
+    """The letter pairs that a key must share one of with any key of the ratio: its rarest, as many as are not surely shared."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def first(keys: pd.Series) -> pd.Series:
+        def rarest(key: str) -> list[str]:
+            seen: Counter = Counter()
+            bag = []
+            for pair in map("".join, zip(key, key[1:])):
+                seen[pair] += 1
+                bag.append((often.get(pair, 0) / seen[pair], f"{pair}{seen[pair]}"))
+            size = len(key)
+            shared = max(1, math.ceil(size * (2 / (2 - least)) * (1.5 * least - 1) - 1 - 1e-9))
+            return [name for _, name in sorted(bag)[: size - shared]]
+
+        return keys.map(rarest)
+
+    return first
+
+
 def _similar_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """All (page, key, other) that may reach the ratio, found without pairing up pages.
 
     Two keys of ratio r and total length n match in M = r n / 2 characters, in at most n - 2M + 1
     runs, so they share at least 3M - n - 1 letter pairs. Both must then share one of their first
-    (pairs - shared + 1) pairs in any common order; the rarest pairs of the page come first.
+    (pairs - shared + 1) pairs in any common order; those that are rare in the native text come first.
+    The order is fixed beforehand by the `FREQUENT_PAIRS` most frequent ones, so that only first pairs are shuffled.
     """
 
-    def named(df: DataFrame) -> DataFrame:
-        return df.filter(F.length("key") >= 3).withColumn("id", F.xxhash64("key"))
+    def named(df: DataFrame, name: str) -> DataFrame:
+        return df.filter(F.length("key") >= 3).withColumn(name, F.xxhash64(*PAGE, "key"))
 
-    left, right = named(left), named(right)
+    left, right = named(left, "id"), named(right, "other_id")
+    bags = right.select(F.explode(_bigrams("key")).alias("pair"))
+    counts = bags.groupBy(F.left("pair", F.lit(2)).alias("pair")).count().orderBy(F.desc("count"), "pair").limit(FREQUENT_PAIRS)
+    first = _first_pairs({x["pair"]: x["count"] for x in counts.collect()}, least)
 
-    def tokens(df: DataFrame, side: str) -> DataFrame:
-        # The key itself stays behind: its tokens carry a digest and its length.
-        exploded = df.select(
-            F.lit(side).alias("_side"), *PAGE, "id", F.length("key").alias("size"),
-            F.explode(_bigrams("key")).alias("_pair"),
-        )
-        return exploded.select("_side", *PAGE, "id", "size", F.xxhash64("_pair").alias("_tok"))
+    def tokens(df: DataFrame, name: str, size: str) -> DataFrame:
+        # The key and its page stay behind: their tokens carry a digest and the length.
+        exploded = df.select(*PAGE, name, F.length("key").alias(size), F.explode(first(F.col("key"))).alias("_pair"))
+        return exploded.select(F.xxhash64(*PAGE, "_pair").alias("_meet"), name, size)
 
-    both = tokens(left, "l").unionByName(tokens(right, "r"))
-    freq = both.groupBy(*PAGE, "_tok").agg(F.count("*").alias("_freq"))
-    size = F.col("size")
-    shared = F.greatest(
-        F.lit(1), F.ceil(size * (2 / (2 - least)) * (1.5 * least - 1) - 1 - 1e-9)
-    )
-    rank = Window.partitionBy("_side", *PAGE, "id").orderBy("_freq", "_tok")
-    first = (
-        both.join(freq.hint("shuffle_hash"), [*PAGE, "_tok"])
-        .withColumn("_rank", F.row_number().over(rank))
-        .filter(F.col("_rank") <= size - shared)
-    )
-    a = first.filter("_side = 'l'").select(*PAGE, "_tok", "id", "size")
-    b = first.filter("_side = 'r'").select(
-        *PAGE, "_tok", F.col("id").alias("other_id"), F.col("size").alias("other_size")
-    )
     short, total = F.least("size", "other_size"), F.col("size") + F.col("other_size")
     pairs = (
-        a.join(b.hint("merge"), [*PAGE, "_tok"])
+        tokens(left, "id", "size")
+        .join(tokens(right, "other_id", "other_size").hint("merge"), "_meet")
         .filter(2 * short / total >= least)
-        .select(*PAGE, "id", "other_id")
+        .select("id", "other_id")
         .distinct()
     )
-    others = right.select(*PAGE, F.col("id").alias("other_id"), F.col("key").alias("other"))
-    return pairs.join(left.select(*PAGE, "id", "key"), [*PAGE, "id"]).join(
-        others, [*PAGE, "other_id"]
-    ).select(*PAGE, "key", "other")
+    others = right.select(*PAGE, "other_id", F.col("key").alias("other"))
+    return pairs.join(left.select(*PAGE, "id", "key"), "id").join(others, [*PAGE, "other_id"]).select(*PAGE, "key", "other")
 
 
 def native_keys(lines: DataFrame, native: DataFrame) -> DataFrame:

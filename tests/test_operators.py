@@ -422,3 +422,25 @@ def test_group_words_like_collected_pages(spark):
                 want[page, text, round(min(w[4] for w in held) / 600, 9), round(max(w[7] for w in held) / 1000, 9)] += 1
     got = collections.Counter((r.page, r.text, round(r.x0, 9), round(r.y1, 9)) for r in ocr.group_words(df.repartition(3)).collect())
     assert got == want
+
+
+def test_few_letter_pairs_are_shuffled_and_none_is_lost(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from parlance.operators import ocr
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("eeettanois") for _ in range(r.randrange(3, 40))) for _ in range(40)]
+    near = ["".join(r.choice("xyz") if r.random() < 0.12 else c for c in t) for t in texts]
+    keyed = "doc_id int, page int, key string"
+    left = spark.createDataFrame([(k % 3, 1, t) for k, t in enumerate(texts)], keyed).distinct()
+    right = spark.createDataFrame([(k % 3, 1, t) for k, t in enumerate(near)], keyed).distinct()
+    got = {tuple(x) for x in ocr._similar_pairs(left, right, 0.82).collect()}
+    want = {
+        (a, 1, s, t) for i, s in enumerate(texts) for j, t in enumerate(near)
+        if (a := i % 3) == j % 3 and SequenceMatcher(None, s, t, autojunk=False).ratio() >= 0.82
+    }
+    assert want and want <= got
+    first = left.select("key", ocr._first_pairs({"et": 9}, 0.82)("key").alias("pairs")).collect()
+    assert all(len(x["pairs"]) <= max(len(x["key"]) - 1, 2) * 0.65 + 2 for x in first)
