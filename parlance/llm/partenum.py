@@ -175,7 +175,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with sizes n_a, n_b, the number of `common` elements and whether they are `linked`.
 
-    `own`: the first elements of b that a lacks, as many as a linked set may lack of b, and one more.
+    `own`: the elements of b that a lacks.
     """
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("of_b"))
@@ -184,7 +184,6 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         {"n_a": F.size("of_a"), "n_b": F.size("of_b"), "common": F.size(F.array_intersect("of_a", "of_b"))}
     )
     united = F.col("n_a") + F.col("n_b") - F.col("common")
-    first = F.floor(F.col("n_b") * (100 - PERCENT) / 100).cast("int") + 1
     return sized.select(
         "a",
         "b",
@@ -192,7 +191,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         "n_b",
         "common",
         (100 * F.col("common") >= PERCENT * united).alias("linked"),
-        F.slice(F.array_except("of_b", "of_a"), F.lit(1), first).alias("own"),
+        F.array_except("of_b", "of_a").alias("own"),
     )
 
 
@@ -234,57 +233,80 @@ def _buckets(index: DataFrame) -> DataFrame:
     return stored(placed.select("sig", "node", "place"), "buckets")
 
 
+#: What two sets, x and y, need of their comparison with a leader.
+MET = ("a", "b", "n_b", "component", "home", "linked", "more", "less")
+
+
+def _may_link(shared: Column) -> Column:
+    """Whether x and y may link if they share up to so many elements that their leader lacks.
+
+    Their difference is at least that of the elements beyond the leader and that of the leader's own.
+    """
+    beyond = F.expr("x.more + y.more + abs(x.less - y.less)")
+    room = F.floor((F.col("x.n_b") + F.col("y.n_b")) * (100 - PERCENT) / (100 + PERCENT))
+    apart = F.expr("x.b <> y.b and x.component <> y.component and (x.home <> y.home or x.home = x.a) and (y.linked or x.b < y.b)")
+    return apart & (100 * F.least("x.n_b", "y.n_b") >= PERCENT * F.greatest("x.n_b", "y.n_b")) & (beyond - 2 * shared <= room)
+
+
+def _sharing(named: DataFrame, beyond: DataFrame) -> DataFrame:
+    """Pairs (xb, yb) of sets that may link, and share elements that their leader lacks.
+
+    A set r with m elements beyond the leader links there only with sets that share m - |r| / 5 of them
+    or more. Only elements count that sets of different components hold. A set with too few of these
+    goes; of the others, in the order seldom ones first, all but as many as must be shared less one are
+    joined: sets that share that many share one of those.
+    """
+    rows = beyond.join(named.select("a", "b", "component", "linked"), ["a", "b"])
+    # An element of a leader's group, as one number; of two that are alike, both are shared by more sets.
+    element = F.explode(F.transform("own", lambda e: F.xxhash64("a", e)))
+    rows = rows.select("a", "b", "component", "linked", element.alias("element")).repartition("element")
+    group = Window.partitionBy("element")
+    held = rows.select(
+        "a", "b", "element", F.count("*").over(group).alias("often"),
+        (F.min("component").over(group) != F.max("component").over(group)).alias("mixed"), F.min("linked").over(group).alias("liked"),
+    ).filter("mixed and not liked")
+    listed = held.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("held"))
+    need = F.greatest(F.lit(1), F.col("more") - F.floor(F.col("n_b") * (100 - PERCENT) / 100)).cast("int")
+    able = named.select(*MET).join(listed, ["a", "b"]).withColumns({"count": F.size("held"), "need": need}).filter("count >= need")
+    first = able.select(*MET, "count", F.explode(F.slice("held", F.lit(1), F.col("count") - F.col("need") + 1)).alias("e"))
+    first = stored(first.select(*MET, "count", F.col("e.element").alias("element")), "elements")
+    x, y = first.filter(~F.col("linked")).alias("x"), first.alias("y")
+    met = x.join(y, F.expr("x.a = y.a and x.element = y.element") & _may_link(F.least("x.count", "y.count")))
+    return met.select(F.col("x.b").alias("xb"), F.col("y.b").alias("yb")).distinct()
+
+
 def _further(compared: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets that were compared with one leader, are in different components, and may link.
 
-    Let r be unlike the leader L, d its difference from it, and s another set that was compared with L.
-    Unless r and s share an element that L lacks, their difference is at least d + |s| - |L|. So they
-    link only if (i) they share such an element, and then, as each holds 0.8 of the other, one of the
-    `own` of each, or (ii) s is so much smaller than L that 9 * (d + |s| - |L|) <= |r| + |s|. Both are joins on equality: on an
-    element, and on the size of s. Two sets whose home, the leader of most sets among those they were
-    compared with, is the same are looked at there alone.
+    Let r be unlike the leader L, and s another set that was compared with L. What they share of the
+    elements that L lacks, and how many of L's each lacks, bounds their difference from below. So they link
+    only if (i) they share enough such elements (see `_sharing`), or (ii) they share none, and what both
+    have beyond L is little; then s is so much smaller than L that 9 * (d + |s| - |L|) <= |r| + |s|, d the difference of
+    r and L, which is a join on the size of s. Two sets whose home, the leader of most sets among those
+    they were compared with, is the same are looked at there alone.
     """
     led = compared.groupBy(F.col("a").alias("leader")).agg(F.count("*").alias("members"))
     met = compared.select(F.col("b").alias("set"), F.col("a").alias("leader")).unionByName(
         led.select(F.col("leader").alias("set"), "leader")
     )
     homes = met.join(led, "leader").groupBy("set").agg(F.max(F.struct("members", "leader"))["leader"].alias("home"))
-    named = compared.join(labels.withColumnRenamed("node", "l"), F.col("b") == F.col("l"), "left")
+    named = compared.drop("own").join(labels.withColumnRenamed("node", "l"), F.col("b") == F.col("l"), "left")
     named = named.join(homes, F.col("b") == F.col("set")).select(
-        "a", "b", "n_a", "n_b", "common", "linked", "own", "home", F.coalesce("component", "b").alias("component")
+        "a", "b", "n_a", "n_b", "common", "linked", "home", F.coalesce("component", "b").alias("component")
     )
     mixed = named.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("a")
     named = stored(named.join(mixed, "a"), "unsettled")
-    unlike = named.filter(~F.col("linked"))
-    fit = F.expr("x.b <> y.b and x.component <> y.component and (x.home <> y.home or x.home = x.a) and (y.linked or x.b < y.b)") & (
-        100 * F.least("x.n_b", "y.n_b") >= PERCENT * F.greatest("x.n_b", "y.n_b")
-    )
     more, less = F.col("n_b") - F.col("common"), F.col("n_a") - F.col("common")
     named = named.withColumns({"more": more, "less": less})
-    # The difference is at least that of the elements beyond L, less twice the shared ones, and that of those of L.
-    beyond = F.expr("x.more + y.more + abs(x.less - y.less)")
-    room = F.floor((F.col("x.n_b") + F.col("y.n_b")) * (100 - PERCENT) / (100 + PERCENT))
-    fit = fit & (beyond - 2 * F.least("x.more", "y.more") <= room)
-    slim = ["a", "b", "n_b", "component", "home", "linked", "more", "less"]
-    # (i): r and s share an element that L lacks. Beyond the listed ones they share at most what one has left.
-    left = (F.col("more") - F.size("own")).alias("left")
-    r = unlike.withColumns({"more": more, "less": less}).select(*slim, left, F.explode("own").alias("element")).alias("x")
-    s = named.select(*slim, left, F.explode("own").alias("element")).alias("y")
-    sharing = r.join(s, F.expr("x.a = y.a and x.element = y.element") & fit)
-    hidden = F.greatest("x.left", "y.left")
-    sharing = sharing.groupBy(F.col("x.a").alias("leader"), F.col("x.b").alias("xb"), F.col("y.b").alias("yb")).agg(
-        F.first(room).alias("room"), (F.first(beyond) - 2 * (F.count("*") + F.first(hidden))).alias("apart")
-    )
-    sharing = sharing.filter("apart <= room")
     # (ii): sizes that s can have, from the least that fits r.
     d = F.col("n_a") + F.col("n_b") - 2 * F.col("common")
     most = F.floor((9 * (F.col("n_a") - d) + F.col("n_b")) / 8).cast("int")
     least = F.ceil(F.col("n_b") * PERCENT / 100).cast("int")
-    r = unlike.withColumns({"more": more, "less": less, "least": least, "most": most}).filter("most >= least")
-    r = r.select(*slim, F.explode(F.sequence("least", "most")).alias("size")).alias("x")
-    smaller = r.join(named.select(*slim).alias("y"), F.expr("x.a = y.a and x.size = y.n_b") & fit)
+    r = named.filter(~F.col("linked")).withColumns({"least": least, "most": most}).filter("most >= least")
+    r = r.select(*MET, F.explode(F.sequence("least", "most")).alias("size")).alias("x")
+    smaller = r.join(named.select(*MET).alias("y"), F.expr("x.a = y.a and x.size = y.n_b") & _may_link(F.lit(0)))
     smaller = smaller.select(F.col("x.b").alias("xb"), F.col("y.b").alias("yb"))
-    both = sharing.select("xb", "yb").unionByName(smaller)
+    both = _sharing(named, compared.select("a", "b", "own")).unionByName(smaller)
     return both.select(F.least("xb", "yb").alias("a"), F.greatest("xb", "yb").alias("b")).distinct()
 
 

@@ -348,3 +348,17 @@ def test_symbols_and_repeated_lines(docs):
 def test_large_vocabularies_keep_windows_exact():
     text = " ".join([f"u{k}" for k in range(6000)] + [f"u{k}" for k in range(50)])
     assert line_frequency.repeated_words(text.encode().split()) == brute_repeats(text) == 100
+
+
+def test_members_of_a_leader_that_share_too_little_are_not_paired(spark):
+    """All members share 12 elements beyond their leader, far fewer than a link takes; only two are alike."""
+    from parlance.llm.partenum import _compared, _further
+
+    leader = list(range(1000, 1100))
+    own = lambda k, n: [10_000 * (k + 1) + i for i in range(n)]
+    members = {k: [*range(12), *leader[:48], *own(k, 40)] for k in range(1, 9)}
+    members[9] = [*members[8][:-2], 900_001, 900_002]
+    sets = spark.createDataFrame([(0, leader), *members.items()], "node long, elements array<long>")
+    pairs = spark.createDataFrame([(0, k) for k in members], "a long, b long")
+    labels = spark.createDataFrame([], "node long, component long")
+    assert [tuple(r) for r in _further(_compared(pairs, sets), labels).collect()] == [(8, 9)]
