@@ -21,6 +21,8 @@ SHEET = ["path", "sheet"]
 POSITION = [*SHEET, "row", "col"]
 CELL_ORDER = ["sheet", "row", "col"]
 REPORT_LIMIT = 100
+#: Scales of up to so many groups are sent to all executors; those of more are joined by a shuffle.
+BROADCAST_SCALES = 100_000
 
 
 def _content() -> Column:
@@ -271,6 +273,9 @@ def scale_position(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     """Position of each value on a three-colour scale: 0 at the minimum, 0.5 at the median, 1 at
     the maximum, linear in between; null for a null value. Null keys are a group like any other."""
     group = F.struct(*[F.col(k) for k in keys])
-    scale = exact_percentile(df.select(group.alias("_group"), col), ["_group"], col, 0.5).drop("n")
-    placed = df.withColumn("_group", group).join(scale, "_group", "left")
+    rows = df.withColumn("_group", group)
+    scale = exact_percentile(rows.select("_group", col), ["_group"], col, 0.5).drop("n")
+    # Rows of few groups are not shuffled: that would send all of a group to one task.
+    few = rows.select("_group").distinct().limit(BROADCAST_SCALES + 1).count() <= BROADCAST_SCALES
+    placed = rows.join(F.broadcast(scale) if few else scale, "_group", "left")
     return placed.withColumn("position", scale_point(F.col(col))).drop("_group")

@@ -357,6 +357,16 @@ def test_scale_position_keeps_all_rows(spark):
                           (None, 4.0, 1.0), ("z", None, None)], key=str)
 
 
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_scale_position_shuffles_no_rows_of_few_groups(spark, monkeypatch, most):
+    monkeypatch.setattr(grids, "BROADCAST_SCALES", most)
+    df = spark.range(400).selectExpr("id", "id % 2 AS k", "cast(id AS double) AS v")
+    out = grids.scale_position(df, ["k"], "v")
+    join = out._jdf.queryExecution().sparkPlan().toString().split("Join")[0]
+    assert join.rstrip().endswith("BroadcastHash") == (most > 1)
+    assert sorted((r.id, r.position) for r in out.collect()) == [(i, (i // 2) / 199) for i in range(400)]
+
+
 def test_ocr_summary_statuses(spark):
     box = None
     data = [(1, 1, 0, "abcd", 0.9, box), (1, 2, 0, "abcde", 0.6, box), (1, 3, 0, "abcde", 0.59, box),
