@@ -27,6 +27,8 @@ SIMILARITY = 0.7
 MIN_DOCS, MIN_TOKENS = 3, 4
 #: Places beside the main one of copies count beyond so many times what edits on both sides make by chance.
 EDITS = 2
+#: Tokens a task remembers the hash of; beyond that it starts anew.
+MEMO = 150_000
 #: Up to so many leaves are sent to all executors; more of them are joined by a shuffle.
 BROADCAST_LEAVES = 1_000_000
 
@@ -114,10 +116,15 @@ def _around(lines: DataFrame, often: DataFrame, by: str) -> DataFrame:
     for side in ("after", "before"):
         usual = usual.join(_usual(lines, by, side), by, "left")
     known = lines.join(stored(usual, "usual"), by, "left")
-    for side, order in (("after", F.desc("line")), ("before", F.asc("line"))):
+    # Of a line only what its block asks of it is shuffled: its neighbour if the block ends with it, and whether that is odd.
+    slim = ["key", "line", F.when(F.col("often"), F.col(by)).alias(by), "often"]
+    for side in ("after", "before"):
         own, most = F.col(side), F.col(f"usual_{side}")
         ends = own.isNotNull() & ~own.eqNullSafe(most)
-        stop = F.when(ends, F.struct("line", own.alias("side"), most.isNotNull().alias("odd")))
+        slim += [F.when(ends, own).alias(side), F.when(ends, most.isNotNull()).alias(f"odd_{side}")]
+    known = known.select(*slim).repartition("key")
+    for side, order in (("after", F.desc("line")), ("before", F.asc("line"))):
+        stop = F.when(F.col(side).isNotNull(), F.struct("line", F.col(side).alias("side"), F.col(f"odd_{side}").alias("odd")))
         onwards = Window.partitionBy("key").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         known = known.withColumn("stop", F.last(stop, ignorenulls=True).over(onwards))
         within = F.col("stop.odd") & (F.col("stop.line") != F.col("line"))
@@ -192,7 +199,7 @@ def _tokens(docs: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
                         continue
                     kind = _hash(b" ".join(tokens))
                     if kind not in seen:
-                        if len(names) > 500_000:
+                        if len(names) > MEMO:
                             names.clear()
                         seen[kind] = leaf, [names.get(t) or names.setdefault(t, _hash(t)) for t in tokens]
             yield arrow_rows(schema, [[v[0] for v in seen.values()], list(seen), [v[1] for v in seen.values()]])

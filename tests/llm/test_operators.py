@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import public_tokenizers as P
@@ -362,3 +363,16 @@ def test_members_of_a_leader_that_share_too_little_are_not_paired(spark):
     pairs = spark.createDataFrame([(0, k) for k in members], "a long, b long")
     labels = spark.createDataFrame([], "node long, component long")
     assert [tuple(r) for r in _further(_compared(pairs, sets), labels).collect()] == [(8, 9)]
+
+
+def test_lines_shuffle_only_what_their_blocks_ask(spark):
+    lines = spark.createDataFrame(
+        [(d, n, 10 + n, 20 + n - 1, 20 + n + 1) for d in range(4) for n in range(3)],
+        "key long, line int, template long, before long, after long",
+    )
+    often = line_templates._in_documents(lines, "template", 3)
+    around = line_templates._around(lines, often, "template")
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(around._jdf.queryExecution(), "formatted")
+    sent = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\(key#", plan)
+    assert sent and not any("usual_" in s or "_w0" in s for s in sent)
+    assert sorted(tuple(r) for r in around.collect()) == sorted((d, 10 + n, None, None) for d in range(4) for n in range(3))
