@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import arrow_rows
+from parlance.llm.common import arrow_rows, forget
 
 #: Trigrams are numbered by a hash into so many features.
 FEATURES = 1 << 15
@@ -163,6 +163,7 @@ def known_language(spark, langs: list[str], model: np.ndarray):
 
     @F.pandas_udf("boolean")
     def judge(text: pd.Series) -> pd.Series:
+        forget()
         names, table = shared.value
         found = (gain(t, names, table) for t in text)
         return pd.Series([not names or (g is not None and g > -MARGIN) for g in found], index=text.index, dtype="bool")

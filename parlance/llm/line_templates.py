@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import arrow_rows, raw, stored
+from parlance.llm.common import arrow_rows, forget, raw, stored
 
 VARIABLE = b"<*>"
 #: Leading tokens of a leaf.
@@ -71,6 +71,7 @@ def _lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
         return _hash(b"%d " * len(leaves) % tuple(leaves)) if len(leaves) > 1 else leaves[0] if leaves else None
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -187,6 +188,7 @@ def _tokens(docs: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         names: dict[bytes, int] = {}
         chosen = set(shared.value.tolist()) if shared.value is not None else None
         for batch in batches:

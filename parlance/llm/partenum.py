@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import arrow_rows, raw, stored
+from parlance.llm.common import arrow_rows, forget, raw, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -105,6 +105,7 @@ def _frequencies(docs: DataFrame) -> np.ndarray:
     schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hashes, total, seen = WordHashes(), np.zeros(COUNTERS, np.int64), set()
         for batch in batches:
             for text in batch.column(0):
@@ -133,6 +134,7 @@ def _index(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     )
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hashes, seen = WordHashes(), set()
         for batch in batches:
             n, nodes, sigs = [], [], []
@@ -162,6 +164,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("elements", pa.list_(pa.int64()))])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hashes = WordHashes()
         for batch in batches:
             sets = [shingles(text.as_py(), hashes).view(np.int64) for text in batch.column(1)]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import arrow_rows, texts
+from parlance.llm.common import arrow_rows, kept, texts
 
 MARK = "▁"
 #: Entries a worker keeps of words seen and of pairs tested; beyond that it starts anew.
@@ -175,14 +175,8 @@ class PieceTable:
         return self.library.decode(ids)
 
 
-_TABLES: dict[bytes, PieceTable] = {}
-
-
 def _table(model: bytes) -> PieceTable:
-    key = hashlib.sha256(model).digest()
-    if key not in _TABLES:
-        _TABLES[key] = PieceTable(model)
-    return _TABLES[key]
+    return kept(("pieces", hashlib.sha256(model).digest()), lambda: PieceTable(model))
 
 
 FIELDS = {

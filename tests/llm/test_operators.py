@@ -365,6 +365,16 @@ def test_members_of_a_leader_that_share_too_little_are_not_paired(spark):
     assert [tuple(r) for r in _further(_compared(pairs, sets), labels).collect()] == [(8, 9)]
 
 
+def test_a_worker_keeps_the_tables_of_one_operator():
+    from parlance.llm import common
+
+    first = common.kept("one", lambda: [1])
+    assert common.kept("one", lambda: [2]) is first
+    assert common.kept("two", lambda: [3]) == [3] and "one" not in common._KEPT
+    common.forget()
+    assert not common._KEPT
+
+
 def test_lines_shuffle_only_what_their_blocks_ask(spark):
     lines = spark.createDataFrame(
         [(d, n, 10 + n, 20 + n - 1, 20 + n + 1) for d in range(4) for n in range(3)],
