@@ -10,6 +10,8 @@ chunk numbers its batches on its own. A document of any length is so spread over
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators.ordered import running_total
 from parlance.operators.pages import MAX_CHARS, MAX_PAGES
+from parlance.session import materialized
 
 CHUNK = 65_536
 #: Fixed value: less room than this is left unused rather than filled with the start of a page.
@@ -90,11 +93,13 @@ class Rule:
 
 
 def _chunk(table: pa.Table, rule: Rule) -> tuple:
-    """Rows of a chunk and those after it, in order, and their ends as lists."""
+    """Rows of a chunk and those after it, in order, and their ends."""
     nth, size, page = (table.column(c).to_numpy() for c in ("nth", "size", "page"))
     order = np.argsort(nth)
-    nth, size, page = nth[order], size[order], page[order]
-    total = int(table.column("rows")[0].as_py())
+    return _ends(nth[order], size[order], page[order], int(table.column("rows")[0].as_py()), rule)
+
+
+def _ends(nth: np.ndarray, size: np.ndarray, page: np.ndarray, total: int, rule: Rule) -> tuple:
     count = min(rule.chunk, len(nth))
     last = nth[0] + len(nth) == total
     ends, nexts, phases = rule.ends(size, page, count, last)
@@ -141,33 +146,60 @@ def _follow(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([pa.array([key[0].as_py()] * len(out), pa.int64()), *(pa.array(values[:, k]) for k in range(3))], schema=_ENTRIES)
 
 
+_WALKED = ("doc_id", "chunk", "nth", "size", "page", "rows", "entry", "batch")
+
+
 def _walk(rule: Rule):
-    """The batches that begin in a chunk, from its first one on."""
+    """The batches that begin in each chunk, from its first one on; chunks come one after another, their rows in order.
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        nth, _, page, count, total, ends, nexts, phases = _chunk(table, rule)
-        entry, number = table.column("entry")[0].as_py(), table.column("batch")[0].as_py()
-        if key[1].as_py() == 0:
+    Most documents are a few rows long, so chunks share Arrow batches; only the rows of the open one are carried on.
+    """
+
+    def follow(doc: int, chunk: int, rows: tuple, entry: float, number: float, out: list[tuple]) -> None:
+        nth, _, page, count, total, ends, nexts, phases = _ends(*rows, rule)
+        if chunk == 0:
             entry, number = rule.start(page[0]), 0
+        if np.isnan(entry):
+            return
+        number = int(number)
+        row, phase = divmod(int(entry), rule.phases)
+        while 0 <= row < count:
+            end, following = int(ends[row, phase]), int(nexts[row, phase])
+            begin = int(page[row]) - phase
+            wrong = following == DONE
+            whole = wrong or nth[0] + following >= total
+            after = None if whole else int(phases[row, phase])
+            first = int(nth[0]) + row
+            out.append((doc, number, first, int(nth[0]) + end, begin, first if wrong else None if whole else int(nth[0]) + following,
+                        begin if wrong else None if whole else int(page[following]) - after, "first_table_too_large" if wrong else None))
+            row, phase, number = (DONE, 0, number + 1) if whole else (following, after, number + 1)
+
+    def walked(held: list[pa.RecordBatch], more: bool) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        doc, chunk, nth, size, page, total, entry, number = (table.column(c).to_numpy() for c in _WALKED)
+        bounds = [0, *(np.flatnonzero((np.diff(doc) != 0) | (np.diff(chunk) != 0)) + 1).tolist(), len(doc)]
         out: list[tuple] = []
-        if entry is not None:
-            row, phase = divmod(entry, rule.phases)
-            while 0 <= row < count:
-                end, following = int(ends[row, phase]), int(nexts[row, phase])
-                begin = int(page[row]) - phase
-                wrong = following == DONE
-                whole = wrong or nth[0] + following >= total
-                after = None if whole else int(phases[row, phase])
-                first = int(nth[0]) + row
-                out.append((first, int(nth[0]) + end, begin, first if wrong else None if whole else int(nth[0]) + following,
-                            begin if wrong else None if whole else int(page[following]) - after, "first_table_too_large" if wrong else None))
-                row, phase = (DONE, 0) if whole else (following, after)
-        columns = list(zip(*out)) or [()] * 6
-        n = len(out)
-        fixed = [pa.array([key[0].as_py()] * n, pa.int64()), pa.array(range(number or 0, (number or 0) + n), pa.int64())]
-        return pa.table([*fixed, *(pa.array(c, f.type) for c, f in zip(columns, list(_BATCHES)[2:]))], schema=_BATCHES)
+        for a, b in zip(bounds, bounds[1:-1] if more else bounds[1:]):
+            follow(int(doc[a]), int(chunk[a]), (nth[a:b], size[a:b], page[a:b], int(total[a])), float(entry[a]), float(number[a]), out)
+        columns = list(zip(*out)) or [()] * len(_BATCHES)
+        made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BATCHES)], schema=_BATCHES)
+        return made, table.slice(bounds[-2]).to_batches() if more else []
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = [(b.column(k)[at].as_py()) for b, at in ((held[0] if held else batch, 0), (batch, -1)) for k in (0, 1)]
+            held.append(batch)
+            if ends[:2] != ends[2:]:  # the open chunk ends in this batch
+                made, held = walked(held, True)
+                if made.num_rows:
+                    yield made
+        if held:
+            yield walked(held, False)[0]
 
-    return run
+    return scan
 
 
 def _batches(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -180,8 +212,9 @@ def _batches(rows: DataFrame, rule: Rule) -> DataFrame:
     long = spread.filter(F.col("rows") > rule.chunk)
     steps = long.groupBy("doc_id", "chunk").applyInArrow(_transfer(rule), "doc_id long, chunk long, entry long, leads_to long, passed long")
     entries = steps.groupBy("doc_id").applyInArrow(_follow, "doc_id long, chunk long, entry long, batch long")
-    known = spread.join(entries, ["doc_id", "chunk"], "left")
-    return known.groupBy("doc_id", "chunk").applyInArrow(_walk(rule), _BATCH_KINDS)
+    known = spread.join(entries, ["doc_id", "chunk"], "left").select(*_WALKED)
+    ordered = known.repartition("doc_id", "chunk").sortWithinPartitions("doc_id", "chunk", "nth")
+    return materialized(ordered.mapInArrow(_walk(rule), _BATCH_KINDS))
 
 
 def _with_batch(rows: DataFrame, batches: DataFrame, most: int) -> DataFrame:

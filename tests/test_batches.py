@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from parlance.operators import batches, pages
@@ -162,3 +163,15 @@ def test_chars(spark):
     assert batches.batches_by_chars(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         batches.batches_by_chars(df, 0)
+
+
+def test_short_documents_share_arrow_batches():
+    """The walk takes an ordered stream: documents that end inside an Arrow batch, and one that spans three of them."""
+    rows = [(d, 0, k, 4, 1, n, None, None) for d, n in ((1, 2), (2, 1), (5, 9), (6, 3)) for k in range(n)]
+    kinds = [pa.int64()] * 8
+    sent = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4]), kinds)], names=batches._WALKED) for a in range(0, len(rows), 4)]
+    made = list(batches._walk(batches.Rule(3, 10))(iter(sent)))
+    got = [tuple(x.values()) for b in made for x in b.select(["doc_id", "batch", "first", "end", "next"]).to_pylist()]
+    want = [(1, 0, 0, 2, None), (2, 0, 0, 1, None), (6, 0, 0, 2, 2), (6, 1, 2, 3, None)]
+    want += [(5, k, 2 * k, min(2 * k + 2, 9), 2 * k + 2 if k < 4 else None) for k in range(5)]
+    assert sorted(got) == sorted(want) and len(made) < len(sent)
