@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters the models tell apart; all others count as `?`. `^` pads the start, `$` ends an address.
 KNOWN = LOWER + "0123456789./_-"
@@ -152,6 +154,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id") -> Da
     distinct = distinct.withColumn("held", F.crc32(F.encode("address", "UTF-8")) % 5 == 0)
     grams = _grams(distinct)
     models = _models(grams.filter(F.col("label").isNotNull() & ~F.col("held")), grams.select("gram").distinct())
+    # Stored, bounded by the alphabet: else each reader below plans and runs the joins of the models anew.
+    models = stored(models, "url-models")
     if models.count() <= BROADCAST_GRAMS:
         models = F.broadcast(models)
     scored = grams.join(models, "gram").groupBy("address").agg(

@@ -386,3 +386,14 @@ def test_lines_shuffle_only_what_their_blocks_ask(spark):
     sent = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\(key#", plan)
     assert sent and not any("usual_" in s or "_w0" in s for s in sent)
     assert sorted(tuple(r) for r in around.collect()) == sorted((d, 10 + n, None, None) for d in range(4) for n in range(3))
+
+
+def test_url_models_are_not_planned_again_by_their_readers(spark):
+    """The result meets the stored models, not the joins that make them."""
+    from parlance.llm import url_markov as um
+
+    rows = [(k, f"http://{host}/{k}") for k, host in enumerate(["a.org", "b.com", "c.net", "d.org"] * 5)]
+    rules = [um.parse_rule("allow org/"), um.parse_rule("block com/")]
+    judged = um.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules)
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and judged.count() == 20
