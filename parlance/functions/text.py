@@ -98,16 +98,16 @@ def clean_web(col: Column) -> Column:
     return F.trim(text, F.lit(JS_SPACE_CHARS))
 
 
+def text_key(text: str | None) -> str | None:
+    if text is None:
+        return None
+    return "".join(filter(str.isalnum, unicodedata.normalize("NFKC", text).casefold()))
+
+
 @F.pandas_udf(T.StringType())
 def match_key(texts: pd.Series) -> pd.Series:
     """NFKC, case-folded, alphanumerics only. No built-in does NFKC, hence the pandas UDF."""
-
-    def key(text):
-        if text is None:
-            return None
-        return "".join(filter(str.isalnum, unicodedata.normalize("NFKC", text).casefold()))
-
-    return texts.map(key)
+    return texts.map(text_key)
 
 
 def _json_string_list(col: Column) -> Column:

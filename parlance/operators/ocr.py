@@ -8,19 +8,22 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.functions.boxes import box_area, centre, norm_box, point_in_box, round_points
 from parlance.functions.numbers import round_half_even
-from parlance.functions.text import alnum_length, clean_lines, has_text, match_key, visible_length
+from parlance.functions.text import alnum_length, clean_lines, has_text, match_key, text_key, visible_length
 from parlance.operators.matching import containing, grid_cell, in_any_box, with_cells
 from parlance.operators.ordered import dedupe_first, running_total
 from parlance.session import materialized
@@ -41,6 +44,8 @@ LINE_GAP = 3.0
 
 #: Letter pairs whose counts reach the driver.
 FREQUENT_PAIRS = 4096
+#: Rows and characters of lines of one page that a task looks at together.
+PAGE_ROWS, PAGE_CHARS = 2_000, 4_000_000
 
 
 def prepared_lines(lines: DataFrame) -> DataFrame:
@@ -129,35 +134,71 @@ def ocr_candidates(boxes: DataFrame, min_area: float = MIN_IMAGE_AREA) -> DataFr
     return large.groupBy(*PAGE).agg(F.count("*").alias("ocr_image_count"))
 
 
-@F.pandas_udf(T.BooleanType())
-def _similar(candidate: pd.Series, reference: pd.Series, threshold: pd.Series) -> pd.Series:
-    """Near containment or a sequence ratio of at least the threshold; cheap upper bounds first.
+def _pairs(text: str) -> Counter:
+    return Counter(map("".join, zip(text, text[1:])))
 
-    With c letter pairs in common, M matched characters obey c >= 3M - n - 1 (see
-    `_similar_pairs`), which bounds the ratio 2M / n.
-    """
 
-    def pairs(text: str) -> Counter:
-        return Counter(map("".join, zip(text, text[1:])))
+def _ratio_within(matcher: SequenceMatcher, least: float) -> tuple[float, float]:
+    """Bounds of the sequence ratio, as close as it takes to tell whether it is at least the threshold.
 
-    def test(a: str, b: str, least: float) -> bool:
+    Blocks are those of `SequenceMatcher.get_matching_blocks`, the widest gaps first; a gap adds no more than its shorter side.
+    """
+    total = len(matcher.a) + len(matcher.b)
+    gaps = [(-min(len(matcher.a), len(matcher.b)), 0, len(matcher.a), 0, len(matcher.b))]
+    found, left = 0, -gaps[0][0]
+    while gaps and 2.0 * found / total < least <= 2.0 * (found + left) / total:
+        size, a, end_a, b, end_b = heappop(gaps)
+        left += size
+        i, j, k = matcher.find_longest_match(a, end_a, b, end_b)
+        found += k
+        for a1, a2, b1, b2 in ((a, i, b, j), (i + k, end_a, j + k, end_b)) if k else ():
+            if a1 < a2 and b1 < b2:
+                heappush(gaps, (-min(a2 - a1, b2 - b1), a1, a2, b1, b2))
+                left += min(a2 - a1, b2 - b1)
+    return 2.0 * found / total, 2.0 * (found + left) / total
+
+
+@dataclass
+class _Texts:
+    """Comparisons of the keys of one page; what was found out about a key or a pair is kept."""
+
+    bags: dict[str, tuple[Counter, Counter]] = field(default_factory=dict)
+    ratios: dict[tuple[str, str], tuple[float, float]] = field(default_factory=dict)
+    matcher: SequenceMatcher = field(default_factory=SequenceMatcher)
+
+    def alike(self, a: str, b: str, least: float) -> bool:
+        """Near containment or a sequence ratio of at least the threshold; cheap upper bounds first.
+
+        With c letter pairs in common, M matched characters obey c >= 3M - n - 1 (see
+        `_similar_pairs`), which bounds the ratio 2M / n.
+        """
         shorter, longer = sorted((len(a), len(b)))
         if shorter < 3:
             return False
         if b in a and longer <= round(shorter * NEAR_CONTAINED):
             return True
         total = shorter + longer
-        common = sum((pairs(a) & pairs(b)).values())
-        if 2 * (common + total + 1) < 3 * total * least:
+        if 2 * shorter / total < least:
             return False
-        matcher = SequenceMatcher(None, a, b)
-        return (
-            matcher.real_quick_ratio() >= least
-            and matcher.quick_ratio() >= least
-            and matcher.ratio() >= least
-        )
+        low, high = self.ratios.get((a, b), (0.0, 1.0))
+        if low < least <= high:
+            for text in (a, b):
+                if text not in self.bags:
+                    self.bags[text] = Counter(text), _pairs(text)
+            letters, pairs = (sum((x & y).values()) for x, y in zip(self.bags[a], self.bags[b]))
+            if 2.0 * letters / total < least or 2 * (pairs + total + 1) < 3 * total * least:
+                return False
+            if self.matcher.b != b:
+                self.matcher.set_seq2(b)
+            self.matcher.set_seq1(a)
+            low, high = self.ratios[a, b] = _ratio_within(self.matcher, least)
+        return low >= least
 
-    return pd.Series([test(*row) for row in zip(candidate, reference, threshold)], dtype=bool)
+
+@F.pandas_udf(T.BooleanType())
+def _similar(candidate: pd.Series, reference: pd.Series, threshold: pd.Series) -> pd.Series:
+    """`_Texts.alike` of each row."""
+    return pd.Series([_Texts().alike(*row) for row in zip(candidate, reference, threshold)], dtype=bool)
 
 
 # Not to be pushed below a distinct, where it would run once per duplicate.
@@ -283,12 +324,8 @@ def keyed_lines(lines: DataFrame) -> DataFrame:
     return rows.withColumn("cx", F.col("_c.x")).withColumn("cy", F.col("_c.y")).drop("_c")
 
 
-def line_reasons(lines: DataFrame, native: DataFrame, images: DataFrame) -> DataFrame:
-    """Every prepared line with its fate: native, outside, duplicate or kept, in that order.
-
-    `outside` applies only to pages that have images; a repeated key is a duplicate of the first
-    remaining line in reading order; lines without a key are never duplicates.
-    """
+def _reasons_of_long_pages(lines: DataFrame, native: DataFrame, images: DataFrame) -> DataFrame:
+    """`line_reasons` of pages of any size: rule by rule, each of them spread over many tasks."""
     # Several rules read the keys, and computing them needs Python: once is enough.
     keyed = materialized(keyed_lines(lines))
     native = materialized(native.select(*PAGE, "key", "x0", "y0", "x1", "y1"))
@@ -331,6 +368,181 @@ def line_reasons(lines: DataFrame, native: DataFrame, images: DataFrame) -> Data
     )
 
 
+@dataclass
+class _Page:
+    """What a task looks at of one page: rows of lines as (place, key, idx, order, point), of native text as (key, box), and image boxes."""
+
+    lines: list[tuple] = field(default_factory=list)
+    native: list[tuple] = field(default_factory=list)
+    images: list[tuple] = field(default_factory=list)
+
+    @staticmethod
+    def holds(box: tuple, point: tuple, pad: float) -> bool:
+        x0, y0, x1, y1 = box
+        return x0 - pad <= point[0] <= x1 + pad and y0 - pad <= point[1] <= y1 + pad
+
+    def native_keys(self, texts: _Texts) -> set[str]:
+        """Keys that also occur natively: equal, inside a native key, or of the ratio."""
+        known = dict.fromkeys(k for k, _ in self.native)
+        keys = dict.fromkeys(k for _, k, *_ in self.lines if k)
+        found = {k for k in keys if k in known or len(k) >= 3 and any(k in other for other in known)}
+        rest = [k for k in keys if k not in found and len(k) >= 3]
+        for other in known:
+            alike = {k for k in rest if texts.alike(k, other, SIMILAR)}
+            found |= alike
+            rest = [k for k in rest if k not in alike]
+        return found
+
+    def native_places(self, texts: _Texts, found: set[str]) -> set:
+        """Indices of lines centred in the box of a native line of fairly similar text; `found` keys need no look."""
+        placed = [(k, idx, point) for _, k, idx, _, point in self.lines if k and idx is not None and point]
+        hits: set = set()
+        # A line of a key that is native anyway counts for others of its index.
+        shared = {i for i, n in Counter(idx for _, _, idx, _, _ in self.lines).items() if n > 1}
+        for other, box in self.native:
+            for k, idx, point in placed if box else ():
+                if idx in hits or k in found and idx not in shared:
+                    continue
+                if self.holds(box, point, NATIVE_PAD) and texts.alike(k, other, SIMILAR_IN_BOX):
+                    hits.add(idx)
+        return hits
+
+    def reasons(self) -> Iterator[tuple[int, str]]:
+        """(place, reason) of each line; as often as lines of its index lie in an image, once at least."""
+        texts = _Texts()
+        by_text = self.native_keys(texts) if self.native else set()
+        by_box = self.native_places(texts, by_text) if self.native else set()
+        boxes = [x for x in self.images if x]
+        inside = Counter(
+            idx for _, _, idx, _, point in self.lines
+            if idx is not None and point and any(self.holds(x, point, IMAGE_PAD) for x in boxes)
+        )
+        judged, firsts = [], {}
+        for place, key, idx, order, _ in self.lines:
+            if key in by_text or idx in by_box:
+                reason = "native"
+            elif self.images and not inside[idx]:
+                reason = "outside"
+            else:
+                reason = "open"
+                if key and (key not in firsts or order < firsts[key]):
+                    firsts[key] = order
+            judged.append((place, key, idx, order, reason))
+        for place, key, idx, order, reason in judged:
+            if reason == "open":
+                reason = "duplicate" if key and firsts[key] < order else "kept"
+            for _ in range(max(1, inside[idx])):
+                yield place, reason
+
+
+#: Kinds of rows that meet on a page.
+LINE, NATIVE, IMAGE = 0, 1, 2
+_BOX = ("_x0", "_y0", "_x1", "_y1")
+
+
+def _judge_pages(columns: Sequence[str]):
+    """Judges rows that come sorted by page; only the rows of the open page are carried on."""
+
+    def judge(rows: pa.Table) -> pa.RecordBatch:
+        at = {c: rows.column(c).to_pylist() for c in ("_kind", *PAGE, "idx", "_text", "cx", "cy", "band", "left", *_BOX)}
+        boxes = [None if None in box else box for box in zip(*(at[c] for c in _BOX))]
+        points = [None if None in point else point for point in zip(at["cx"], at["cy"])]
+        orders = [tuple((x is not None, x) for x in order) for order in zip(at["band"], at["left"], at["idx"])]
+        keys = [text_key(text) if kind == LINE else text for kind, text in zip(at["_kind"], at["_text"])]
+        places, reasons = [], []
+        page, open_page = _Page(), None
+
+        def close() -> None:
+            for place, reason in page.reasons():
+                places.append(place)
+                reasons.append(reason)
+
+        for place, (kind, *of) in enumerate(zip(at["_kind"], *(at[c] for c in PAGE))):
+            if of != open_page or None in of:
+                close()
+                page, open_page = _Page(), of
+            if kind == LINE:
+                page.lines.append((place, keys[place], at["idx"][place], orders[place], points[place]))
+            elif kind == NATIVE:
+                page.native.append((keys[place], boxes[place]))
+            else:
+                page.images.append(boxes[place])
+        close()
+        taken = rows.select([c for c in columns if c not in ("key", "reason")]).take(pa.array(places, pa.int64()))
+        made = {"key": pa.array([keys[k] for k in places], pa.string()), "reason": pa.array(reasons, pa.string())}
+        arrays = [made[c] if c in made else taken.column(c).combine_chunks() for c in columns]
+        return pa.RecordBatch.from_arrays(arrays, names=list(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            rows = new if held is None else pa.concat_tables([held, new])
+            last = [rows.column(c)[-1].as_py() for c in PAGE]
+            begin = rows.num_rows - 1
+            if None not in last:  # rows without a page are pages of their own
+                same = np.ones(rows.num_rows, bool)
+                for c, value in zip(PAGE, last):
+                    same &= pc.fill_null(pc.equal(rows.column(c), pa.scalar(value, rows.column(c).type)), False).to_numpy()
+                begin -= int(np.argmin(same[::-1])) - 1 if not same.all() else begin
+            held = rows.slice(begin)
+            if begin:
+                yield judge(rows.slice(0, begin))
+        if held is not None:
+            yield judge(held)
+
+    return run
+
+
+def _reasons_by_page(lines: DataFrame, native: DataFrame, images: DataFrame) -> DataFrame:
+    """`line_reasons` of pages that a task can look at as a whole: all rows of a page are shuffled to it once."""
+    point = centre(F.col("box"), F.col("page_width"), F.col("page_height"))
+    rows = prepared_lines(lines).withColumn("_c", point)
+    rows = rows.select(*[c for c in rows.columns if c != "_c"], F.col("_c.x").alias("cx"), F.col("_c.y").alias("cy"))
+    given = rows.withColumn("key", F.lit(None).cast("string")).withColumn("reason", F.lit(None).cast("string"))
+    kept = [*PAGE, "key", "idx", *[c for c in given.columns if c not in (*PAGE, "key", "idx")]]
+    corners = [F.col(c[1:]).cast("double").alias(c) for c in _BOX]
+    none = [F.lit(None).cast("double").alias(c) for c in _BOX]
+    # Lines travel without their key, which is made from their text where they meet.
+    met = (
+        rows.select(F.lit(LINE).alias("_kind"), F.col("text").alias("_text"), *none, *[c for c in rows.columns if c != "text"])
+        .unionByName(native.filter("key <> ''").select(F.lit(NATIVE).alias("_kind"), *PAGE, F.col("key").alias("_text"), *corners), True)
+        .unionByName(images.select(F.lit(IMAGE).alias("_kind"), *PAGE, *corners), True)
+    )
+    whole = F.col("doc_id").isNotNull() & F.col("page").isNotNull()
+    spread = F.when(~whole, F.xxhash64("_text", "idx"))  # lines without a page meet nothing
+    sorted_rows = met.repartition(*PAGE, spread).sortWithinPartitions(*PAGE)
+    kinds = {f.name: f.dataType for f in met.schema.fields} | {c: T.StringType() for c in ("text", "key", "reason")}
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in kept])
+    judged = sorted_rows.withColumn("text", F.col("_text")).mapInArrow(_judge_pages(kept), schema)
+    return judged.select(*[F.col(c).cast(given.schema[c].dataType).alias(c) for c in kept])
+
+
+def _long_pages(lines: DataFrame, native: DataFrame, images: DataFrame) -> DataFrame:
+    """Pages of more rows or characters than a task looks at together."""
+    parts = [lines.select(*PAGE, F.length("text").cast("long").alias("_chars")), *(x.select(*PAGE, F.lit(0).cast("long").alias("_chars")) for x in (native, images))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).dropna(subset=PAGE)
+    sizes = rows.groupBy(*PAGE).agg(F.count("*").alias("_rows"), F.sum("_chars").alias("_chars"))
+    return sizes.filter((F.col("_rows") > PAGE_ROWS) | (F.col("_chars") > PAGE_CHARS)).select(*PAGE)
+
+
+def line_reasons(lines: DataFrame, native: DataFrame, images: DataFrame) -> DataFrame:
+    """Every prepared line with its fate: native, outside, duplicate or kept, in that order.
+
+    `outside` applies only to pages that have images; a repeated key is a duplicate of the first
+    remaining line in reading order; lines without a key are never duplicates. Pages meet their native
+    text and images in one shuffle; long ones, if there are any, go rule by rule.
+    """
+    long = materialized(_long_pages(lines, native, images))
+    if long.isEmpty():
+        return _reasons_by_page(lines, native, images)
+    short = [x.join(long, PAGE, "left_anti") for x in (lines, native, images)]
+    rest = [x.join(long, PAGE, "left_semi") for x in (lines, native, images)]
+    return _reasons_by_page(*short).unionByName(_reasons_of_long_pages(*rest))
+
+
 def drop_native_lines(lines: DataFrame, native: DataFrame, images: DataFrame) -> DataFrame:
     """The lines that only images hold."""
     return line_reasons(lines, native, images).filter("reason = 'kept'").drop("reason")

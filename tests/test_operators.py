@@ -455,3 +455,41 @@ def test_few_letter_pairs_are_shuffled_and_none_is_lost(spark):
     assert want and want <= got
     first = left.select("key", ocr._first_pairs({"et": 9}, 0.82)("key").alias("pairs")).collect()
     assert all(len(x["pairs"]) <= max(len(x["key"]) - 1, 2) * 0.65 + 2 for x in first)
+
+
+def _odd_pages(spark, rng):
+    """Lines, native lines and images of small pages, with nulls, repeated indices and repeated rows."""
+    texts = ["", "!!", "ab", "some line", "Some LINE", "a longer line of words", "a longer lime of words", "another text", "a longer line of words and more"]
+    line_rows, native_rows, image_rows = [], [], []
+    for page in [*range(60), None]:
+        for i in range(rng.randint(0, 8)):
+            x, y = rng.randint(0, 1000) * 1.0, rng.randint(0, 1000) * 1.0
+            box = None if rng.random() < 0.2 else [[x, y], [x + 20, y], [x + 20, y + 10], [x, y + 10]]
+            line = (rng.choice([1, 1, None]) if page == 7 else 1, page, rng.choice([i, i, 0, None]), rng.choice([*texts, None]), 0.9, box, 1000, 1000)
+            line_rows += [line] * rng.choice([1, 1, 2])
+        native_rows += [(1, page, rng.choice(["", None, "ab", "someline", "alongerlineofwords", "alangerlyneofwordsx", "anothertexts"]), *((0.0, 0.0, rng.choice([1.0, 0.5, None]), 1.0))) for _ in range(rng.randint(0, 3))]
+        image_rows += [(1, page, 0.2, rng.choice([0.0, None]), rng.random(), 0.9) for _ in range(rng.randint(0, 2))]
+    box = "x0 double, y0 double, x1 double, y1 double"
+    return (
+        spark.createDataFrame(line_rows, "doc_id int, page int, idx int, text string, confidence double, box array<array<double>>, page_width int, page_height int"),
+        spark.createDataFrame(native_rows, f"doc_id int, page int, key string, {box}"),
+        spark.createDataFrame(image_rows, f"doc_id int, page int, {box}"),
+    )
+
+
+def test_line_reasons_by_page_like_rule_by_rule(spark, monkeypatch):
+    given = _odd_pages(spark, random.Random(11))
+    show = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    want = ocr._reasons_of_long_pages(*given)
+    by_page = ocr.line_reasons(*given)
+    assert by_page.dtypes == want.dtypes
+    assert show(by_page) == show(want)
+    assert {r.reason for r in by_page.collect()} == {"native", "outside", "duplicate", "kept"}
+    monkeypatch.setattr(ocr, "PAGE_ROWS", 8)
+    assert 0 < ocr._long_pages(*given).count() < 60
+    assert show(ocr.line_reasons(*given)) == show(want)
+
+
+def test_line_reasons_shuffle_once(spark):
+    plan = ocr.line_reasons(*_odd_pages(spark, random.Random(12)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
